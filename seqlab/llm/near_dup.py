@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, t
     reps = saved(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
 
     bands = reps.select("id", "signature").mapInArrow(_bands, "bucket long, id long")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join below has an exchange on either side and a hot bucket can be split
+    shared = saved(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = bands.join(shared, "bucket").join(reps.select("id", "n_shingles", "signature"), "id")
     dealt = _block_pairs(members, "n", 2 * block)
     keys = ["bucket", "i", "j"]

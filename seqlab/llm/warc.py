@@ -136,6 +136,7 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = LEAST_BY
     pages = pages.select("page_id", "url", _payload().alias("html")).where(F.col("page_id").isNotNull())
     narrow = pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"))
     shared = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where(F.col("keeper") > F.col("least")).drop("least")
+    shared = saved(shared, "shared-payloads")  # so that the join has an exchange on either side and a hot payload can be split
     refers = narrow.join(shared, ["digest", "n"]).where(F.col("page_id") != F.col("keeper")).select("page_id", "digest", F.col("keeper").alias("refers_to")).distinct()
     met = pages.withColumn("digest", F.sha1("html")).join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     return saved(met.mapInArrow(_archive_writer(folder, level), CAPTURES), "captures")
