@@ -1,31 +1,6 @@
-"""Queries of the core library over the standard tables, with their SQL."""
+"""All queries of the core library; importing the families registers them."""
 
-from __future__ import annotations
+from seqlab.plans import query_labels, query_sessions, query_stats, query_vectors  # noqa: F401
+from seqlab.plans.register import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a query under its function's name, with its SQL where there is any."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query("SELECT event_type AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS usage FROM events GROUP BY event_type")
-def label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each label."""
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("total"), 6).alias("usage"))
+__all__ = ["ORACLE_SQL", "QUERIES"]
