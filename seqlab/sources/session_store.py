@@ -86,3 +86,21 @@ def read_hdf5(spark: SparkSession, pattern: str) -> DataFrame:
                         yield pd.DataFrame({"uuid": uuid, "name": f"{PREFIX}{name}", "frame_seq": range(len(values)), "ts": None if ts is None else pd.Series(ts).reindex(range(len(values))), "value": values.astype(float)})
 
     return files.mapInPandas(rows, "uuid string, name string, frame_seq long, ts double, value double")
+
+
+def retire_source(path: str, sidecar: str | None = None, splits: int = 0) -> list[str]:
+    """Rename a consumed file to .orig, and clone its YAML sidecar for each split with the split's uuid (IO19); the clones."""
+    import copy
+    import os
+
+    from seqlab.sources.tables import read_yaml, write_yaml
+
+    os.rename(path, f"{path}.orig")
+    made = []
+    for i in range(splits if sidecar else 0):
+        document = copy.deepcopy(read_yaml(sidecar))
+        document["uuid"] = f"{document.get('uuid', '')}-split-{i:02d}"
+        base, ext = os.path.splitext(sidecar)
+        made.append(f"{base}-split-{i:02d}{ext}")
+        write_yaml(document, made[-1], backup=False)
+    return made
