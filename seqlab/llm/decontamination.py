@@ -28,20 +28,21 @@ def _words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows of all items: window (words), n, item_ids (as strings)."""
+    """Distinct windows of all items: window (words joined by spaces), n, item_ids (as strings)."""
     words = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), _words(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)).alias("w"))
     last = F.greatest(F.size("w") - size, F.lit(0))
     starts = words.where(F.size("w") > 0).select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    windows = starts.select("item", F.slice("w", F.col("at") + 1, F.lit(size)).alias("window"))
-    return windows.groupBy("window").agg(F.collect_set("item").alias("item_ids")).withColumn("n", F.size("window"))
+    words = F.slice("w", F.col("at") + 1, F.lit(size))
+    windows = starts.select("item", F.array_join(words, " ").alias("window"), F.size(words).alias("n"))
+    return windows.groupBy("window", "n").agg(F.collect_set("item").alias("item_ids"))
 
 
 def _prefixes(docs: DataFrame, windows: DataFrame, max_rows: int) -> DataFrame:
     """Windows with their rarest word (over all documents) and its place in them."""
-    vocabulary, small = broadcast_if_small(saved(windows.select(F.explode("window").alias("word")).select(F.lower("word").alias("key")).distinct(), "item-words"), max_rows)
+    vocabulary, small = broadcast_if_small(saved(windows.select(F.explode(F.split("window", " ")).alias("word")).select(F.lower("word").alias("key")).distinct(), "item-words"), max_rows)
     seen = docs.select(F.explode(_words(F.col("text"))).alias("word")).select(F.lower("word").alias("key"))
     counts = seen.join(vocabulary, "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
-    placed = windows.select("window", "n", "item_ids", F.posexplode("window").alias("offset", "word")).withColumn("key", F.lower("word"))
+    placed = windows.select("window", "n", "item_ids", F.posexplode(F.split("window", " ")).alias("offset", "word")).withColumn("key", F.lower("word"))
     placed = placed.join(counts, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     best = F.min_by(F.struct("key", "offset"), F.struct("seen", "key", "offset")).alias("best")
     return placed.groupBy("window").agg(best, F.first("n").alias("n"), F.first("item_ids").alias("item_ids")).select("window", "n", "item_ids", "best.*")
@@ -71,7 +72,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, perc
     docs = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("text"))
     windows = saved(item_windows(items, size), "item-windows")
     found = _prefixes(docs, windows, max_broadcast_rows).select("window", "n", "item_ids", "key", "offset")
-    ends = docs.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("window"), F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("item_ids"), F.lit(END).alias("key"), F.lit(0).alias("offset"))
+    ends = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("window"), F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("item_ids"), F.lit(END).alias("key"), F.lit(0).alias("offset"))
     prefixes = saved(found.unionByName(ends), "prefixes")
     prefixes, small = broadcast_if_small(prefixes, max_broadcast_rows)
 
@@ -79,7 +80,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, perc
     at = F.posexplode(F.array_append("w", F.lit(END))).alias("at", "word")
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
-    same = F.transform(F.slice("w", start + 1, F.col("n")), lambda x: F.translate(x, _UPPER, _LOWER)) == F.col("window")
+    # built-in functions with generated code only: then the words' array is a variable of the loop over words, and not copied for each
+    same = F.translate(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), " "), _UPPER, _LOWER) == F.col("window")
     is_end = F.col("window").isNull()
     if small:
         hits = split.select("doc_id", "row_key", "w", at).withColumn("key", F.lower("word")).join(prefixes, "key")
