@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators import resample, similarity, usage
+from seqlab.operators import normalize, resample, similarity, usage
 from seqlab.plans.register import query, table
 
 FRAME, RESAMPLE = ["frame"], ["resample", "tie", "place"]
@@ -144,6 +144,4 @@ _COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a in _COLUMNS for b in _COLUMNS))
 def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqlab.operators.normalize import correlations
-
-    return correlations(table(spark, sf_dir, "lineitem"), _COLUMNS).withColumn("correlation", F.round("correlation", 6))
+    return normalize.correlations(table(spark, sf_dir, "lineitem"), _COLUMNS).withColumn("correlation", F.round("correlation", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as X
@@ -16,8 +16,6 @@ FPS = 1.0
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uuid, frame_seq (from 0), label, value, ts_ms."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events")
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -99,9 +97,9 @@ def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.mean_trajectories(aligned, ["value", "root"], fps=FPS, horizon_s=3.0)
 
 
-@query(f"WITH {T_SQL} SELECT label, \"offset\", round(value, 6) AS value, round(root, 6) AS root, n FROM t")
+@query(f"WITH {T_SQL} SELECT label, \"offset\", round(value, 9) AS value, round(root, 9) AS root, n FROM t")
 def trajectory_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trajectories(spark, sf_dir).select("label", "offset", F.round("value", 6).alias("value"), F.round("root", 6).alias("root"), "n")
+    return _trajectories(spark, sf_dir).select("label", "offset", F.round("value", 9).alias("value"), F.round("root", 9).alias("root"), "n")
 
 
 @query(

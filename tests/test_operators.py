@@ -413,11 +413,3 @@ def test_stream_assignment(spark, tmp_path):
     stream = spark.readStream.schema("id int, features array<double>").parquet(f"{tmp_path}/in")
     append_to_library(stream, centroids, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 30
-
-
-def test_every_core_query_has_rows(spark):
-    from seqlab.plans.catalog import ORACLE_SQL, QUERIES
-
-    assert set(ORACLE_SQL) <= set(QUERIES)
-    for name, f in QUERIES.items():
-        assert f(spark, "/root/testdata/sf0.001").limit(1).count() == 1, name
