@@ -272,25 +272,34 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lookup(directory: DataFrame, urls: DataFrame, *, keys_at_once: int = 10_000) -> DataFrame:
     """The captures of URLs (a column ``url``), by binary search of the two levels.
 
-    Index files have key ranges that follow each other; each asked key goes to
-    the files whose range holds it, and there only blocks that may hold it are
-    read. Keys of a file are asked in groups of about ``keys_at_once``. URLs
-    without a capture give no row; a repeated one is asked once; null asks for
-    the empty URL.
+    Index files have key ranges that follow each other. Each asked key finds the
+    files that may hold it by bisection of their first and last keys (a row per
+    task that wrote the index goes through the driver, and no more); in a file
+    it finds its blocks by bisection of the directory, and its captures by
+    bisection of the block. Keys are asked of a file in groups of about
+    ``keys_at_once``. URLs without a capture give no row; a repeated one is
+    asked once; null asks for the empty URL.
     """
-    key = F.pandas_udf(lambda s: s.map(url_key), "string")
-    spans = directory.groupBy("index_file").agg(
-        F.min("first_key").alias("low"), F.max("last_key").alias("high"), F.array_sort(F.collect_list(F.struct("first_key", "last_key", "offset", "length"))).alias("blocks")
-    )
-    asked = urls.select(key(F.coalesce("url", F.lit(""))).alias("key")).distinct()
-    # one row per task that wrote the index is broadcast
-    met = asked.join(F.broadcast(spans.select("index_file", "low", "high")), F.col("key").between(F.col("low"), F.col("high")))
-    groups = met.groupBy("index_file", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-asked.count() // keys_at_once)))).alias("g")).agg(F.collect_list("key").alias("keys"))
-    return groups.join(spans.select("index_file", "blocks"), "index_file").select("index_file", "blocks", "keys").mapInArrow(_search, CAPTURES)
+    files = directory.groupBy("index_file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect()
+    files = sorted((f["low"], f["high"], f["index_file"]) for f in files)
+    lows, highs = [f[0] for f in files], [f[1] for f in files]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key in {url_key(u) for u in batch.column("url").to_pylist()}:
+                found += [(files[k][2], key) for k in range(bisect_left(highs, key), bisect_right(lows, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["index_file", "key"])
+
+    asked = saved(urls.select("url").mapInArrow(find, "index_file string, key string").distinct(), "asked-keys")
+    groups = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-asked.count() // (keys_at_once * max(1, len(files)))))))
+    blocks = directory.groupBy("index_file").agg(F.array_sort(F.collect_list(F.struct("first_key", "last_key", "offset", "length"))).alias("blocks"))
+    keys = asked.groupBy("index_file", groups.alias("g")).agg(F.collect_list("key").alias("keys"))
+    return keys.join(blocks, "index_file").select("index_file", "blocks", "keys").mapInArrow(_search, CAPTURES)
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = LEAST_BYTES, with_payload: bool = True) -> DataFrame:
-    """Write archives and index in the shared folder, and read every record back through the index."""
+    """Write archives and index in the shared folder, and read every page's record back by looking its URL up."""
     folder = scratch(pages.sparkSession, "warc")
     directory = write_index(write_archives(pages, folder, least_bytes=least_bytes), folder)
-    return read_all(directory, with_payload=with_payload)
+    return read_captures(lookup(directory, pages), with_payload=with_payload)
