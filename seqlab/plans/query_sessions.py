@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as X
-from seqlab.operators import features, intervals, sequence, similarity, treatments, usage
+from seqlab.operators import features, intervals, long_sessions, sequence, similarity, treatments, usage
 from seqlab.plans.register import query, table
 from seqlab.sources import session_store
 
@@ -53,6 +53,14 @@ def label_run_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).groupBy("uuid", "run_id").agg(F.first("label").alias("label"), F.min("frame_seq").alias("start"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {D_SQL} SELECT r.uuid, r.frame_seq, r.run_id, dur.fwd AS run_frames FROM r JOIN dur USING (uuid, run_id)")
+def long_session_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and durations without a task per session: windows over chunks of 16 frames."""
+    marked = long_sessions.mark_onsets(frames(spark, sf_dir), chunk=16)
+    out = long_sessions.run_durations(long_sessions.number_runs(marked, chunk=16), chunk=16)
+    return out.select("uuid", "frame_seq", "run_id", "run_frames")
+
+
 @query(f"WITH {O_SQL} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS usage FROM r WHERE onset GROUP BY label")
 def label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = usage.label_usage(sequence.mark_onsets(frames(spark, sf_dir)))
