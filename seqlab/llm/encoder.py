@@ -67,7 +67,7 @@ class PieceEncoder:
     do not depend on it.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         self.tokenizer, self.limit, self.kept = tokenizer(path), limit, {}
         self.sizes = piece_sizes(path)
 
