@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import unused
+from seqlab.llm.common import saved, unused
 
 #: Stripped at both ends of a line before it is compared.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -90,6 +90,7 @@ def _drops(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """For each (drop_id, drop_key) the positions of lines to drop. ``rows``: doc_id, text, row_key."""
     lines = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "row_key").mapInArrow(_line_rows(min_chars), LINES)
     common = lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    common = saved(common, "common-lines")  # so that the join has an exchange on either side and a hot line can be split
     return (
         lines.join(common.select("line_hash", "keeper"), "line_hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
