@@ -28,14 +28,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays."""
+    """Of each class of near copies the document with the smallest doc_id stays; so do documents without words or doc_id."""
     found = near_dup.near_duplicates(docs)
-    kept = found.where(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    copies = found.where(F.col("class_id") < F.col("doc_id")).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule marks go."""
+    """Documents that the contamination rule marks go; rows without a doc_id stay."""
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     marked = found.where("contaminated").select("doc_id")
     return docs.join(marked, "doc_id", "left_anti").select(docs.columns)
