@@ -177,6 +177,8 @@ def test_license_scan_by_brute_force(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
         assert 0 <= r["score"] <= 1
     assert rows[len(TEXTS) + 2]["labels"] == "gpl-3"
+    found = rows[len(TEXTS) + 2]["detections"]
+    assert [(x["first_word"], x["n_words"]) for x in found] == [(3, 9)]
     assert len(licenses.rules()) >= 200
     assert licenses.scan_licenses(documents(spark).where("false")).count() == 0
 
