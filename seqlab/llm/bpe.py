@@ -207,7 +207,7 @@ def _assemble(path: str, with_text: bool):
     return assemble
 
 
-def encode_decode(docs: DataFrame, *, tokenizer_path: str | None = None, outputs: bool = True, fixed_scan: bool = False, block_words: int = 1 << 22, buckets: int | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, *, tokenizer_path: str | None = None, outputs: bool = True, fixed_scan: bool = False, block_words: int = 1 << 20, buckets: int | None = None) -> DataFrame:
     """Encode every text over the distinct-word table, then decode its ids.
 
     Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit integers),
