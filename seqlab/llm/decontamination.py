@@ -42,6 +42,8 @@ def _prefixes(docs: DataFrame, windows: DataFrame, max_rows: int) -> DataFrame:
     vocabulary, small = broadcast_if_small(saved(windows.select(F.explode(F.split("window", " ")).alias("word")).select(F.lower("word").alias("key")).distinct(), "item-words"), max_rows)
     seen = docs.select(F.explode(_words(F.col("text"))).alias("word")).select(F.lower("word").alias("key"))
     counts = seen.join(vocabulary, "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    if small:  # it has a row per item word at most
+        counts = F.broadcast(counts)
     placed = windows.select("window", "n", "item_ids", F.posexplode(F.split("window", " ")).alias("offset", "word")).withColumn("key", F.lower("word"))
     placed = placed.join(counts, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     best = F.min_by(F.struct("key", "offset"), F.struct("seen", "key", "offset")).alias("best")
