@@ -235,6 +235,7 @@ def components(edges: DataFrame) -> DataFrame:
     what is left is at most half the vertices, and no edge is read twice. Each
     step is a written table.
     """
+    edges = saved(edges.select("a", "b"), "edges")
     members = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct().withColumn("comp", F.col("id"))
     edges = saved(edges.where("a <> b").distinct(), "edges")
     while not edges.isEmpty():
