@@ -126,8 +126,8 @@ def brute_near(docs, t=0.8):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_duplicates_by_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "bound"), [(256, 200_000), (4, 0)])
+def test_near_duplicates_by_brute_force(spark, block, bound):
     rng, v = random.Random(9), vocabulary(200, 9)
     docs = []
     for group in range(12):
@@ -139,7 +139,7 @@ def test_near_duplicates_by_brute_force(spark, block):
             docs.append((len(docs) * 3 + 1, " ".join(w)))
     docs += [(9000, ""), (9001, None), (9002, "..."), (9003, docs[0][1].upper()), (9004, "one"), (9005, "One!"), (9006, "x " * 40_000)]
     table = spark.createDataFrame([(i, t, "a", 1, "b") for i, t in docs], "doc_id long, text string, id string, n int, comp string")
-    got = {r["doc_id"]: (r["rep_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in near_dup.near_duplicates(table, block=block).collect()}
+    got = {r["doc_id"]: (r["rep_id"], r["class_id"], r["n_copies"], r["n_links"]) for r in near_dup.near_duplicates(table, block=block, max_broadcast_rows=bound).collect()}
     assert got == brute_near(docs)
 
 
@@ -254,4 +254,35 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in out) == [*range(30), 400]
+    from seqlab.llm.encoder import default_path, tokenizer
+
+    of = dict(clean) | {400: ""}
+    for r in out:
+        ids = tokenizer(default_path()).encode(of[r["doc_id"]], add_special_tokens=False).ids
+        assert bytes(r["ids"]) == np.array(ids, "<u4").tobytes()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE"]
+
+
+def test_pipeline_stages_one_by_one(spark, tmp_path):
+    """Each stage by brute force on its own input; all but the last keep the columns of documents."""
+    import corpus_pipeline
+
+    line = "a line of more than forty characters that many documents hold"
+    rows = [(i, f"own text number {i} {'x' * i}\n{line}", "en", "s", 0) for i in range(6)] + [(6, None, None, None, None), (None, line, "en", "s", 5)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, columns)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "own text number 3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    toxic = docs.union(spark.createDataFrame([(9, "you idiot", "en", "s", 9)], columns))
+    assert stages["toxicity"](spark, toxic, str(tmp_path)).count() == len(rows)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["line dedup"](spark, docs, str(tmp_path)).collect()}
+    for i, text, *_ in rows[:5]:
+        assert got[i] == (text.split("\n")[0], len(text.split("\n")[0]))
+    assert got[5][0] == rows[5][1] and got[6] == (None, None) and got[None] == ("", 0)
+    left = sorted(str(r["doc_id"]) for r in stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect())
+    assert left == sorted(map(str, [0, 1, 2, 4, 5, 6, None]))
