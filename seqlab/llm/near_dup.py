@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm.common import ascii_words, broadcast_if_small, saved, sorted_runs
@@ -254,9 +254,9 @@ def components(edges: DataFrame) -> DataFrame:
     return members
 
 
-def _block_pairs(rows: DataFrame, n: str, block: int) -> DataFrame:
-    """Deal the rows of each group to blocks of about ``block`` by a hash, and to every pair of blocks (i, j) that theirs is in."""
-    blocks = F.ceil(F.col(n) / block).cast("int")
+def _block_pairs(rows: DataFrame, n: str, per: Column) -> DataFrame:
+    """Deal the rows of each group to blocks of about ``per`` by a hash, and to every pair of blocks (i, j) that theirs is in."""
+    blocks = F.ceil(F.col(n) / per).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("yours", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("i", F.least("mine", "yours")).withColumn("j", F.greatest("mine", "yours")).drop("yours", n)
 
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, t
     # written, so that the join below has an exchange on either side and a hot bucket can be split
     shared = saved(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = bands.join(shared, "bucket").join(reps.select("id", "n_shingles", "signature"), "id")
-    dealt = _block_pairs(members, "n", 2 * block)
+    dealt = _block_pairs(members, "n", F.lit(2 * block))  # each pair of blocks puts out a forest of its own, so they are large
     keys = ["bucket", "i", "j"]
     candidates = components(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_candidates(threshold, tolerance), "a long, b long"))
 
@@ -299,7 +299,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, t
     wanted = saved(candidates.join(sizes, "comp").join(reps.select("id", "rep_id", "set_key"), "id").select(F.col("rep_id").alias("doc_id"), "set_key", "id", "comp", "n"), "candidates")
     wanted, _ = broadcast_if_small(wanted, max_broadcast_rows)
     texts = rows.join(wanted, "doc_id").select("text", "set_key", "id", "comp", "n")
-    dealt = _block_pairs(texts.mapInArrow(_sets(size), SETS).dropDuplicates(["id"]), "n", block)
+    # a sixteenth of the component, within bounds: many tasks share one of some size, and rows of very large ones aren't copied too often
+    per = F.greatest(F.lit(max(1, block // 4)), F.least(F.lit(2 * block), F.ceil(F.col("n") / 16)))
+    dealt = _block_pairs(texts.mapInArrow(_sets(size), SETS).dropDuplicates(["id"]), "n", per)
     keys = ["comp", "i", "j"]
     verified = saved(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold, tolerance), "id long, root long, links long"), "links")
 
