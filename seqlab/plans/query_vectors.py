@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.operators import cluster, features, similarity
@@ -112,8 +112,14 @@ def affinity_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def ar_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = points(spark, sf_dir, 13).where("id < 40").select((F.col("id") / 4).cast("int").alias("label"), (F.col("id") % 4).cast("int").alias("row"), F.col("features").alias("values"))
-    return features.dynamics_features(rows)
+    """Four vectors in order of id are a label's matrix: 4 * 3 lags and the bias are their first 13 components.
+
+    All rows are used; only a group that lacks one of its four ids, as the last may, is left out.
+    """
+    n = 4
+    rows = points(spark, sf_dir, n * 3 + 1).select(F.floor(F.col("id") / n).cast("int").alias("label"), F.pmod(F.col("id"), F.lit(n)).cast("int").alias("row"), F.col("features").alias("values"))
+    whole = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("label"))).where(F.col("_n") == n).drop("_n")
+    return features.dynamics_features(whole)
 
 
 @query(None)
