@@ -2,8 +2,8 @@
 
 A text is normalised to its words (A-Z lower-cased, one space between, one at
 each end). Rules are hand-written regexes over that form, in order of priority;
-each is gated by keywords, looked for as plain substrings before any regex
-runs. A detection whose interval lies within that of another is suppressed (of
+each is gated by words that its regex requires, looked for as plain substrings
+before it runs. A detection whose interval lies within that of another is suppressed (of
 equal intervals, priority decides); of those that still overlap in part, the
 one with the better priority stays.
 
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _parser as parts
 
 import numpy as np
 import pyarrow as pa
@@ -29,71 +31,71 @@ SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 #: Phrases that are always reported, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Families: (label, names as regexes over normalised words, keyword of the names).
+#: Families: (label, names as regexes over normalised words).
 FAMILIES = (
-    ("mit", r"mit|expat|x11|mit x11|mit expat", ""),
-    ("mit-0", r"mit 0|mit no attribution", "mit"),
-    ("isc", r"isc|internet (?:systems|software) consortium", ""),
-    ("zlib", r"zlib|zlib libpng|libpng", ""),
-    ("bsl-1", r"boost(?: software)?|bsl 1(?: 0)?", ""),
-    ("unlicense", r"unlicense|the unlicense", "unlicense"),
-    ("wtfpl", r"wtfpl|do what the fuck you want to(?: public)?", ""),
-    ("artistic-1", r"artistic(?: license)? 1(?: 0)?|perl artistic", "artistic"),
-    ("artistic-2", r"artistic(?: license)?(?: version)? 2(?: 0)?", "artistic"),
-    ("postgresql", r"postgresql|postgres", "postgres"),
-    ("python-2", r"python(?: software foundation)?(?: license)?(?: version)? 2(?: 0)?|psf(?: 2(?: 0)?)?", ""),
-    ("ruby", r"ruby", "ruby"),
-    ("php-3", r"php(?: license)?(?: version)? 3(?: 0\d?)?", "php"),
-    ("openssl", r"openssl|ssleay", "ssl"),
-    ("ncsa", r"ncsa|university of illinois(?: ncsa)?(?: open source)?", ""),
-    ("json", r"json", "json"),
-    ("beerware", r"beer ?ware", "beer"),
-    ("cc0", r"cc0(?: 1 0)?|creative commons zero", ""),
-    ("ofl-1.1", r"sil open font|ofl 1(?: 1)?|open font", ""),
-    ("bsd-2", r"bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd", "bsd"),
-    ("bsd-3", r"bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd", "bsd"),
-    ("bsd-4", r"bsd 4 clause|4 clause bsd|original bsd", "bsd"),
-    ("bsd-0", r"0bsd|bsd zero clause|zero clause bsd", "bsd"),
-    ("bsd", r"bsd|berkeley software distribution", ""),
-    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache"),
-    ("apache-2", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2(?: 0)?", ""),
-    ("apache", r"apache(?: software)?", "apache"),
-    ("gpl-1", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?|(?:gnu )?general public license(?: version| v)? ?1", ""),
-    ("gpl-2", r"(?:gnu )?gpl ?v?(?: version)? ?2(?: 0)?|(?:gnu )?general public license(?: version| v)? ?2(?: 0)?", ""),
-    ("gpl-3", r"(?:gnu )?gpl ?v?(?: version)? ?3(?: 0)?|(?:gnu )?general public license(?: version| v)? ?3(?: 0)?", ""),
-    ("gpl", r"(?:gnu )?gpl|(?:gnu )?general public", ""),
-    ("lgpl-2", r"(?:gnu )?lgpl ?v?(?: version)? ?2(?: 0)?|library general public license(?: version)? 2(?: 0)?", ""),
-    ("lgpl-2.1", r"(?:gnu )?lgpl ?v?(?: version)? ?2 1|(?:lesser|library) general public license(?: version| v)? ?2 1", ""),
-    ("lgpl-3", r"(?:gnu )?lgpl ?v?(?: version)? ?3(?: 0)?|lesser general public license(?: version| v)? ?3(?: 0)?", ""),
-    ("lgpl", r"(?:gnu )?lgpl|(?:gnu )?(?:lesser|library) general public", ""),
-    ("agpl-3", r"(?:gnu )?agpl ?v?(?: version)? ?3(?: 0)?|affero general public license(?: version| v)? ?3(?: 0)?", ""),
-    ("agpl", r"(?:gnu )?agpl|(?:gnu )?affero(?: general public)?", ""),
-    ("gfdl-1.3", r"(?:gnu )?(?:gfdl|fdl|free documentation license)(?: version| v)? ?1 3", ""),
-    ("gfdl", r"(?:gnu )?(?:gfdl|fdl|free documentation)", ""),
-    ("mpl-1.1", r"(?:mozilla public(?: license)?|mpl)(?: version| v)? ?1(?: 1| 0)", ""),
-    ("mpl-2", r"(?:mozilla public(?: license)?|mpl)(?: version| v)? ?2(?: 0)?", ""),
-    ("mpl", r"mozilla public|mpl", ""),
-    ("epl-1", r"(?:eclipse public(?: license)?|epl)(?: version| v)? ?1(?: 0)?", ""),
-    ("epl-2", r"(?:eclipse public(?: license)?|epl)(?: version| v)? ?2(?: 0)?", ""),
-    ("epl", r"eclipse public|epl", ""),
-    ("cddl-1", r"(?:cddl|common development and distribution(?: license)?)(?: version| v)? ?1(?: 0| 1)?", ""),
-    ("cddl", r"cddl|common development and distribution", ""),
-    ("cpl-1", r"common public(?: license)?(?: version)?(?: 1 0)?", "common public"),
-    ("eupl-1.2", r"(?:eupl|european union public(?: license| licence)?)(?: version| v)? ?1 ?[12]?", ""),
-    ("osl-3", r"open software license(?: version)?(?: 3 0)?|osl 3(?: 0)?", ""),
-    ("afl-3", r"academic free(?: license)?(?: version)?(?: 3 0)?|afl 3(?: 0)?", ""),
-    ("ms-pl", r"microsoft public|ms pl", ""),
-    ("ms-rl", r"microsoft reciprocal|ms rl", ""),
-    ("vim", r"vim", "vim"),
-    ("zpl-2", r"zope public(?: license)?(?: version)?(?: 2 [01])?|zpl 2(?: [01])?", ""),
-    ("upl-1", r"universal permissive|upl 1(?: 0)?", ""),
-    ("odbl-1", r"open (?:data commons )?(?:database|odbl)|odbl(?: 1 0)?", ""),
-    ("odc-by", r"open data commons attribution|odc by(?: 1 0)?", ""),
-    ("pddl-1", r"public domain dedication and license|pddl(?: 1 0)?", ""),
-    ("cecill-2", r"cecill(?: free software license)?(?: version| v)? ?2(?: [01])?|cecill", ""),
-    ("elastic-2", r"elastic(?: license)?(?: version)? 2(?: 0)?", "elastic"),
-    ("sspl-1", r"server side public|sspl(?: 1)?", ""),
-    ("bsl-1.1", r"business source(?: license)?(?: 1 1)?|busl 1 1", ""),
+    ("mit", r"mit|expat|x11|mit x11|mit expat"),
+    ("mit-0", r"mit 0|mit no attribution"),
+    ("isc", r"isc|internet (?:systems|software) consortium"),
+    ("zlib", r"zlib|zlib libpng|libpng"),
+    ("bsl-1", r"boost(?: software)?|bsl 1(?: 0)?"),
+    ("unlicense", r"unlicense|the unlicense"),
+    ("wtfpl", r"wtfpl|do what the fuck you want to(?: public)?"),
+    ("artistic-1", r"artistic(?: license)? 1(?: 0)?|perl artistic"),
+    ("artistic-2", r"artistic(?: license)?(?: version)? 2(?: 0)?"),
+    ("postgresql", r"postgresql|postgres"),
+    ("python-2", r"python(?: software foundation)?(?: license)?(?: version)? 2(?: 0)?|psf(?: 2(?: 0)?)?"),
+    ("ruby", r"ruby"),
+    ("php-3", r"php(?: license)?(?: version)? 3(?: 0\d?)?"),
+    ("openssl", r"openssl|ssleay"),
+    ("ncsa", r"ncsa|university of illinois(?: ncsa)?(?: open source)?"),
+    ("json", r"json"),
+    ("beerware", r"beer ?ware"),
+    ("cc0", r"cc0(?: 1 0)?|creative commons zero"),
+    ("ofl-1.1", r"sil open font|ofl 1(?: 1)?|open font"),
+    ("bsd-2", r"bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd"),
+    ("bsd-3", r"bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd"),
+    ("bsd-4", r"bsd 4 clause|4 clause bsd|original bsd"),
+    ("bsd-0", r"0bsd|bsd zero clause|zero clause bsd"),
+    ("bsd", r"bsd|berkeley software distribution"),
+    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
+    ("apache-2", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2(?: 0)?"),
+    ("apache", r"apache(?: software)?"),
+    ("gpl-1", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?|(?:gnu )?general public license(?: version| v)? ?1"),
+    ("gpl-2", r"(?:gnu )?gpl ?v?(?: version)? ?2(?: 0)?|(?:gnu )?general public license(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3", r"(?:gnu )?gpl ?v?(?: version)? ?3(?: 0)?|(?:gnu )?general public license(?: version| v)? ?3(?: 0)?"),
+    ("gpl", r"(?:gnu )?gpl|(?:gnu )?general public"),
+    ("lgpl-2", r"(?:gnu )?lgpl ?v?(?: version)? ?2(?: 0)?|library general public license(?: version)? 2(?: 0)?"),
+    ("lgpl-2.1", r"(?:gnu )?lgpl ?v?(?: version)? ?2 1|(?:lesser|library) general public license(?: version| v)? ?2 1"),
+    ("lgpl-3", r"(?:gnu )?lgpl ?v?(?: version)? ?3(?: 0)?|lesser general public license(?: version| v)? ?3(?: 0)?"),
+    ("lgpl", r"(?:gnu )?lgpl|(?:gnu )?(?:lesser|library) general public"),
+    ("agpl-3", r"(?:gnu )?agpl ?v?(?: version)? ?3(?: 0)?|affero general public license(?: version| v)? ?3(?: 0)?"),
+    ("agpl", r"(?:gnu )?agpl|(?:gnu )?affero(?: general public)?"),
+    ("gfdl-1.3", r"(?:gnu )?(?:gfdl|fdl|free documentation license)(?: version| v)? ?1 3"),
+    ("gfdl", r"(?:gnu )?(?:gfdl|fdl|free documentation)"),
+    ("mpl-1.1", r"(?:mozilla public(?: license)?|mpl)(?: version| v)? ?1(?: 1| 0)"),
+    ("mpl-2", r"(?:mozilla public(?: license)?|mpl)(?: version| v)? ?2(?: 0)?"),
+    ("mpl", r"mozilla public|mpl"),
+    ("epl-1", r"(?:eclipse public(?: license)?|epl)(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", r"(?:eclipse public(?: license)?|epl)(?: version| v)? ?2(?: 0)?"),
+    ("epl", r"eclipse public|epl"),
+    ("cddl-1", r"(?:cddl|common development and distribution(?: license)?)(?: version| v)? ?1(?: 0| 1)?"),
+    ("cddl", r"cddl|common development and distribution"),
+    ("cpl-1", r"common public(?: license)?(?: version)?(?: 1 0)?"),
+    ("eupl-1.2", r"(?:eupl|european union public(?: license| licence)?)(?: version| v)? ?1 ?[12]?"),
+    ("osl-3", r"open software license(?: version)?(?: 3 0)?|osl 3(?: 0)?"),
+    ("afl-3", r"academic free(?: license)?(?: version)?(?: 3 0)?|afl 3(?: 0)?"),
+    ("ms-pl", r"microsoft public|ms pl"),
+    ("ms-rl", r"microsoft reciprocal|ms rl"),
+    ("vim", r"vim"),
+    ("zpl-2", r"zope public(?: license)?(?: version)?(?: 2 [01])?|zpl 2(?: [01])?"),
+    ("upl-1", r"universal permissive|upl 1(?: 0)?"),
+    ("odbl-1", r"open (?:data commons )?(?:database|odbl)|odbl(?: 1 0)?"),
+    ("odc-by", r"open data commons attribution|odc by(?: 1 0)?"),
+    ("pddl-1", r"public domain dedication and license|pddl(?: 1 0)?"),
+    ("cecill-2", r"cecill(?: free software license)?(?: version| v)? ?2(?: [01])?|cecill"),
+    ("elastic-2", r"elastic(?: license)?(?: version)? 2(?: 0)?"),
+    ("sspl-1", r"server side public|sspl(?: 1)?"),
+    ("bsl-1.1", r"business source(?: license)?(?: 1 1)?|busl 1 1"),
 )
 
 #: Creative Commons terms: (label, words after "cc" or "creative commons").
@@ -115,27 +117,27 @@ SHAPES = (
     ("name", 5, r"(?:the )?(?:NAME) licen[sc]e(?: version \d(?: \d)?)?"),
 )
 
-#: Texts of licenses and general notices: (label, priority, keyword, pattern).
+#: Texts of licenses and general notices: (label, priority, pattern).
 TEXTS = (
-    ("mit", 1, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 1, "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("bsd", 2, "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3", 2, "endorse or promote", r"neither the names? of .{0,120}? may be used to endorse or promote products"),
-    ("bsd-4", 2, "advertising materials", r"all advertising materials mentioning features or use of this software"),
-    ("apache-2", 1, "apache org licenses", r"www apache org licenses license 2 0"),
-    ("gpl", 2, "redistribute it and or modify", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 1, "redistribute it and or modify", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", 1, "redistribute it and or modify", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl-2", 1, "mozilla org mpl", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", 1, "unencumbered software", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", 1, "what the fuck", r"do what the fuck you want to public license"),
-    ("zlib", 1, "origin of this software", r"the origin of this software must not be misrepresented"),
-    ("bsl-1", 1, "boost org", r"www boost org license 1 0"),
-    ("public-domain", 3, "public domain", r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
-    ("public-domain", 4, "public domain", r"(?:is|are) in the public domain"),
-    ("proprietary", 3, "all rights reserved", r"all rights reserved"),
-    ("proprietary", 3, "proprietary", r"(?:confidential and proprietary|proprietary and confidential|proprietary licen[sc]e)"),
-    ("copyleft-other", 5, "copyleft", r"copyleft licen[sc]e"),
+    ("mit", 1, r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", 1, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("bsd", 2, r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3", 2, r"neither the names? of .{0,120}? may be used to endorse or promote products"),
+    ("bsd-4", 2, r"all advertising materials mentioning features or use of this software"),
+    ("apache-2", 1, r"www apache org licenses license 2 0"),
+    ("gpl", 2, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", 1, r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", 1, r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl-2", 1, r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", 1, r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 1, r"do what the fuck you want to public license"),
+    ("zlib", 1, r"the origin of this software must not be misrepresented"),
+    ("bsl-1", 1, r"www boost org license 1 0"),
+    ("public-domain", 3, r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
+    ("public-domain", 4, r"(?:is|are) in the public domain"),
+    ("proprietary", 3, r"all rights reserved"),
+    ("proprietary", 3, r"(?:confidential and proprietary|proprietary and confidential|proprietary licen[sc]e)"),
+    ("copyleft-other", 5, r"copyleft licen[sc]e"),
 )
 
 
@@ -146,45 +148,101 @@ class Rule:
     name: str
     label: str
     priority: int
-    keyword: bytes
+    needs: tuple[tuple[bytes, ...], ...]
     pattern: re.Pattern
 
 
+def needs(pattern: bytes) -> tuple[tuple[bytes, ...], ...]:
+    """What every match of a regex requires: of each tuple, one literal at least is in the text (or beside the match, where an assertion says so)."""
+
+    def of(nodes) -> list[tuple[bytes, ...]]:
+        found, run = [], bytearray()
+
+        def ended() -> None:
+            if run:
+                found.append((bytes(run),))
+            run.clear()
+
+        for op, arg in nodes:
+            if op is parts.LITERAL:
+                run.append(arg)
+                continue
+            behind, before = op is parts.ASSERT and arg[0] < 0, bytes(run)
+            if op is not parts.ASSERT or behind:
+                ended()
+            if op is parts.ASSERT and all(x is parts.LITERAL for x, _ in arg[1]):
+                run.extend(x for _, x in arg[1])
+            if op is parts.ASSERT and not behind:
+                ended()
+            if op is parts.SUBPATTERN:
+                found += of(arg[-1])
+            elif op in (parts.MAX_REPEAT, parts.MIN_REPEAT) and arg[0] > 0:
+                found += of(arg[2])
+            elif op is parts.BRANCH:
+                each = [of([*((parts.LITERAL, x) for x in before), *alternative]) for alternative in arg[1]]
+                if all(each):
+                    words = {w for x in each for w in max(x, key=lambda c: (min(map(len, c)), -len(c)))}
+                    found.append(tuple(sorted(w for w in words if not any(v in w for v in words - {w}))))
+        ended()
+        return found
+
+    return tuple(n for n in dict.fromkeys(of(parts.parse(pattern))) if min(map(len, n)) > 2)
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority."""
     out = []
 
-    def add(name: str, label: str, priority: int, keyword: str, pattern: str) -> None:
-        out.append(Rule(name, label, priority, keyword.encode(), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")))
+    def add(name: str, label: str, priority: int, pattern: str) -> None:
+        whole = rb"(?<= )(?:" + pattern.encode() + rb")(?= )"
+        out.append(Rule(name, label, priority, needs(whole), re.compile(whole)))
 
-    for label, names, keyword in FAMILIES:
+    for label, names in FAMILIES:
         for kind, priority, shape in SHAPES:
-            add(f"{label}:{kind}", label, priority, keyword or "licen", shape.replace("NAME", names))
+            add(f"{label}:{kind}", label, priority, shape.replace("NAME", names))
     for label, terms in COMMONS:
         for prefix in ("cc", "creative commons"):
             for version in (r" [1-4] \d", ""):
-                add(f"{label}:{prefix}{':version' * bool(version)}", label, 2 + (not version), prefix, rf"{prefix} (?:{terms})(?: licen[sc]e)?(?: international| unported)?{version}(?: international| unported)?")
-        add(f"{label}:url", label, 1, "creativecommons org", rf"creativecommons org licenses (?:{terms.split('|')[0]}) [1-4] \d")
-    for n, (label, priority, keyword, pattern) in enumerate(TEXTS):
-        add(f"{label}:text{n}", label, priority, keyword, pattern)
+                add(f"{label}:{prefix}{':version' * bool(version)}", label, 2 + (not version), rf"{prefix} (?:{terms})(?: licen[sc]e)?(?: international| unported)?{version}(?: international| unported)?")
+        add(f"{label}:url", label, 1, rf"creativecommons org licenses (?:{terms.split('|')[0]}) [1-4] \d")
+    for n, (label, priority, pattern) in enumerate(TEXTS):
+        add(f"{label}:text{n}", label, priority, pattern)
     return tuple(sorted(out, key=lambda r: r.priority))
 
 
-#: One of these is in every text that a rule can match.
-GATE = re.compile(rb" licen[sc]| cc |creative ?commons|public domain|copyleft|all rights reserved|proprietary|permission |redistribut|advertising materials|endorse or promote|apache org|unencumbered|what the fuck|origin of this software|boost org|mozilla org")
+@lru_cache(maxsize=1)
+def gates() -> dict[tuple[bytes, ...], list[tuple[int, Rule]]]:
+    """(order, rule) by the most common need that those of the rule imply; a text that meets none of these matches no rule."""
+    shared = Counter(need for rule in rules() for need in rule.needs)
+    implied = {n: max((g for g in shared if all(any(v in w for v in g) for w in n)), key=lambda g: shared[g]) for n in shared}
+    out: dict[tuple[bytes, ...], list[tuple[int, Rule]]] = {}
+    for order, rule in enumerate(rules()):
+        out.setdefault(max((implied[n] for n in rule.needs), key=lambda g: shared[g]), []).append((order, rule))
+    return out
+
+
+def _met(norm: bytes) -> Iterator[tuple[int, Rule]]:
+    """(order, rule) of the rules whose needs a text meets."""
+    known: dict[tuple[bytes, ...], bool] = {}
+
+    def holds(need: tuple[bytes, ...]) -> bool:
+        if need not in known:
+            known[need] = any(w in norm for w in need)
+        return known[need]
 
+    for need, gated in gates().items():
+        if holds(need):
+            yield from (x for x in gated if all(map(holds, x[1].needs)))
 
-def detections(norm: bytes) -> list[tuple[int, int, str, str]]:
-    """(start, end, label, rule) of what stays after suppression, by start; ``norm`` is a normalised text."""
-    found = []
-    if GATE.search(norm):
-        gates: dict[bytes, bool] = {}
-        for order, rule in enumerate(rules()):
-            if rule.keyword not in gates:
-                gates[rule.keyword] = rule.keyword in norm
-            if gates[rule.keyword]:
-                found += [(m.start(), m.end(), rule.priority, order, rule) for m in rule.pattern.finditer(norm)]
+
+def detections(norm: bytes, *, gated: bool = True) -> list[tuple[int, int, str, str]]:
+    """(start, end, label, rule) of what stays after suppression, by start; ``norm`` is a normalised text.
+
+    The gate skips rules that cannot match, and changes nothing else.
+    """
+    tried = _met(norm) if gated else enumerate(rules())
+    found = [(m.start(), m.end(), rule.priority, order, rule) for order, rule in tried for m in rule.pattern.finditer(norm)]
     widest, longest = [], -1
     for x in sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3])):
         if x[1] > longest:  # else it lies within an earlier one, or equals one that comes first

@@ -183,6 +183,45 @@ def test_license_scan_by_brute_force(spark):
     assert licenses.scan_licenses(documents(spark).where("false")).count() == 0
 
 
+def shortest(nodes):
+    """Texts that match a parsed regex: its shortest match by each alternative of each branch."""
+    p, out = licenses.parts, [b""]
+    for op, arg in nodes:
+        if op is p.LITERAL:
+            more = [bytes([arg])]
+        elif op is p.IN:
+            more = [b"1" if arg[0][0] is p.CATEGORY else bytes([arg[0][1] if arg[0][0] is p.LITERAL else arg[0][1][0]])]
+        elif op is p.ANY:
+            more = [b"x"]
+        elif op in (p.MAX_REPEAT, p.MIN_REPEAT):
+            more = [x * arg[0] for x in shortest(arg[2])]
+        elif op is p.SUBPATTERN:
+            more = shortest(arg[-1])
+        elif op is p.BRANCH:
+            more = [x for alternative in arg[1] for x in shortest(alternative)]
+        else:
+            assert op is p.ASSERT
+            continue
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_license_gate_drops_no_match():
+    for rule in licenses.rules():
+        for text in shortest(licenses.parts.parse(rule.pattern.pattern)):
+            norm = b" " + text + b" "
+            assert rule.pattern.search(norm), (rule.name, text)
+            assert licenses.detections(norm) == licenses.detections(norm, gated=False) != [], (rule.name, text)
+
+
+def test_license_notices_without_the_word(spark):
+    texts = ["Released under the GPL v3", "distributed under the BSD 3-clause", "published under MPL 2.0", "licensed under Apache 2.0", "offered under the Unlicense",
+             "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert [rows[i]["labels"] for i in range(6)] == ["gpl-3", "bsd-3", "mpl-2", "apache-2", "unlicense", "mpl-2"]
+    assert all(r["score"] > 0 for r in rows.values())
+
+
 def test_license_intervals_do_not_overlap():
     norm = b" " + b" ".join(b"licensed under the apache license version 2 0 or the mit license spdx license identifier gpl 2 0 only".split()) + b" "
     found = licenses.detections(norm)
