@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.functions.text import stem, without_literal
@@ -33,17 +33,42 @@ def update_groups(files: DataFrame, merged: DataFrame) -> DataFrame:
     return met.withColumn("changed", ~new.eqNullSafe(F.col("group"))).withColumn("group", new).drop("_name", "_stem", "_treat")
 
 
+def _name(path: Column) -> Column:
+    """The last component as ``pathlib`` gives it: empty components and '.' don't count, a path without others has the empty name."""
+    return F.coalesce(F.try_element_at(F.filter(F.split(path, "/"), lambda x: (x != "") & (x != ".")), F.lit(-1)), F.when(path.isNotNull(), F.lit("")))
+
+
 def groups_by_suffix(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Target files (path) with the group of the first source file whose path ends in their name.
+    """Target files (path) with the group of the first source file, by position, whose path ends in their name.
+
+    A name may end a longer component ('x.h5' is in '/a/box.h5'), and a path
+    without a name has the empty one, which ends every path. One row per
+    distinct target path; ``found`` tells files without a source. A null path
+    matches nothing.
+
+    Plan: distinct names have few lengths, which are broadcast; a source path
+    gives a suffix for each, and the first source of a suffix is combined
+    before the shuffle, so no join has many rows on both sides.
+    """
+    t = target.dropDuplicates(["path"]).withColumn("_name", _name(F.col("path")))
+    lengths = t.where("_name is not null").select(F.length("_name").alias("_n")).distinct()
+    s = source.where("path is not null").select("position", "path", F.col("group").alias("source_group")).join(F.broadcast(lengths), F.length("path") >= F.col("_n"))
+    first = s.groupBy(F.right("path", F.col("_n")).alias("_suffix")).agg(F.min(F.struct("position", "path", "source_group")).alias("_first"))
+    met = t.join(first, F.col("_name") == F.col("_suffix"), "left")
+    return met.withColumn("source_group", F.col("_first.source_group")).withColumn("found", F.col("_first").isNotNull()).drop("_name", "_suffix", "_first")
+
+
+def groups_by_name(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Target files (path) with the group of the first source file whose text after the last '/' equals theirs.
 
-    Names are matched as whole last components by an equi-join on the file
-    name, and longer matches by ``endswith``; ``found`` tells files without any.
+    Narrower than F16: a name that ends a longer component is no match, and
+    paths that end in '/' match each other only. See ``groups_by_suffix``.
     """
-    t = target.withColumn("_name", F.element_at(F.split("path", "/"), -1))
-    s = source.select(F.col("path").alias("_path"), F.col("group").alias("source_group"), F.col("position"), F.element_at(F.split("path", "/"), -1).alias("_key"))
-    met = t.join(s, (F.col("_name") == F.col("_key")) & F.col("_path").endswith(F.col("_name")), "left")
-    first = met.withColumn("_rank", F.row_number().over(Window.partitionBy("path").orderBy("position"))).where("_rank = 1")
-    return first.withColumn("found", F.col("_path").isNotNull()).drop("_name", "_path", "_key", "_rank", "position")
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    t = target.dropDuplicates(["path"]).withColumn("_name", last("path"))
+    first = source.groupBy(last("path").alias("_key")).agg(F.min(F.struct("position", "path", F.col("group").alias("source_group"))).alias("_first"))
+    met = t.join(first, F.col("_name") == F.col("_key"), "left")
+    return met.withColumn("source_group", F.col("_first.source_group")).withColumn("found", F.col("_first").isNotNull()).drop("_name", "_key", "_first")
 
 
 def index_to_rows(spark: SparkSession, document: dict) -> DataFrame:

@@ -248,6 +248,14 @@ def path_component_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.replace_component(F.col("url"), "en", "/data/en").alias("path"))
 
 
+def _index_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Target files (path) and source files (path, group, position)."""
+    p = table(spark, sf_dir, "pages")
+    target = p.where("page_id % 2 = 0").select(F.col("url").alias("path")).distinct()
+    source = p.where("page_id % 5 <> 0").select(F.col("url").alias("path"), F.concat(F.lit("g"), (F.col("page_id") % 3).cast("string")).alias("group"), F.col("page_id").alias("position"))
+    return target, source
+
+
 @query(
     """WITH t AS (SELECT url AS path, string_split(url, '/')[-1] AS name FROM pages WHERE page_id % 2 = 0 GROUP BY url),
 s AS (SELECT url, lang_group, position, string_split(url, '/')[-1] AS name FROM (SELECT url, page_id AS position, 'g' || CAST(page_id % 3 AS VARCHAR) AS lang_group FROM pages WHERE page_id % 5 <> 0)),
@@ -255,7 +263,16 @@ m AS (SELECT t.path, s.lang_group, s.url, row_number() OVER (PARTITION BY t.path
 SELECT path, lang_group AS source_group, url IS NOT NULL AS found FROM m WHERE k = 1"""
 )
 def treatment_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    target = p.where("page_id % 2 = 0").select(F.col("url").alias("path")).distinct()
-    source = p.where("page_id % 5 <> 0").select(F.col("url").alias("path"), F.concat(F.lit("g"), (F.col("page_id") % 3).cast("string")).alias("group"), F.col("page_id").alias("position"))
-    return treatments.groups_by_suffix(target, source)
+    """By equal last components, as its SQL says; ``treatment_path_suffix`` has the rule of F16."""
+    return treatments.groups_by_name(*_index_files(spark, sf_dir))
+
+
+@query(
+    r"""WITH t AS (SELECT url AS path, coalesce(list_filter(string_split(url, '/'), lambda x: x <> '' AND x <> '.')[-1], '') AS name FROM pages WHERE page_id % 2 = 0 GROUP BY url),
+s AS (SELECT url, page_id AS position, 'g' || CAST(page_id % 3 AS VARCHAR) AS source_group FROM pages WHERE page_id % 5 <> 0),
+m AS (SELECT t.path, s.source_group, s.url, row_number() OVER (PARTITION BY t.path ORDER BY s.position) AS k FROM t LEFT JOIN s ON ends_with(s.url, t.name))
+SELECT path, source_group, url IS NOT NULL AS found FROM m WHERE k = 1"""
+)
+def treatment_path_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16 and S7 as the reference has them: the first source whose path ends in the target's name."""
+    return treatments.groups_by_suffix(*_index_files(spark, sf_dir))

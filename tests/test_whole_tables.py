@@ -1,8 +1,11 @@
 """Queries that use all rows and all components, against NumPy on small tables."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
+from seqlab.operators import treatments
 from seqlab.plans.catalog import QUERIES
 
 
@@ -24,3 +27,17 @@ def test_ar_eigen_uses_every_whole_group(spark, tmp_path):
         assert r["spectral_radius"] == pytest.approx(m[0])
         assert [r[f"eigval_{i}"] for i in range(1, 11)] == pytest.approx(m[:10])
         assert r["dynamic_complexity"] == pytest.approx(-sum(p * np.log(p + 1e-10) for p in m / m.sum()))
+
+
+def test_groups_by_suffix_takes_the_first_path_that_ends_in_the_name(spark):
+    targets = ["/t/825", "/t/x.h5/", "/t/y.h5/.", "/", "/t/none", None]
+    sources = [("/s/1825", "a", 1), ("/s/825", "b", 2), ("/s/z/", "c", 0), ("/s/box.h5", "d", 5), ("/s/x.h5", "e", 6), ("/s/y.h5", None, 7), (None, "f", -1)]
+    target = spark.createDataFrame([(x,) for x in targets], "path string")
+    source = spark.createDataFrame(sources, "path string, group string, position int")
+    got = {r["path"]: (r["source_group"], r["found"]) for r in treatments.groups_by_suffix(target, source).collect()}
+    want = {None: (None, False)}
+    for path in targets[:-1]:
+        ends = [(at, group) for p, group, at in sources if p is not None and p.endswith(Path(path).name)]
+        want[path] = (min(ends)[1], True) if ends else (None, False)
+    assert got == want
+    assert got["/t/825"] == ("a", True) and got["/"] == ("c", True) and got["/t/y.h5/."] == (None, True)
