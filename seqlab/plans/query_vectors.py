@@ -40,6 +40,17 @@ def pc_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.zscore(rows, ["pc_1", "pc_2"], population=True).select("id", F.round("z_pc_1", 6).alias("z_pc_1"), F.round("z_pc_2", 6).alias("z_pc_2"))
 
 
+@query(
+    "WITH s AS (SELECT " + ", ".join(f"avg(embedding[{i}]::DOUBLE) AS m{i}, stddev_pop(embedding[{i}]::DOUBLE) AS s{i}" for i in range(1, 11)) + " FROM embeddings) SELECT vec_id AS id, "
+    + ", ".join(f"round((embedding[{i}]::DOUBLE - m{i}) / s{i}, 6) AS z_pc_{i}" for i in range(1, 11)) + " FROM embeddings, s"
+)
+def pc_zscore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten components that V9 scales; ``pc_zscore`` has the two of its SQL."""
+    names = [f"pc_{i}" for i in range(1, 11)]
+    rows = points(spark, sf_dir, 10).select("id", *(F.get("features", F.lit(i)).alias(c) for i, c in enumerate(names)))
+    return similarity.zscore(rows, names, population=True).select("id", *(F.round(f"z_{c}", 6).alias(f"z_{c}") for c in names))
+
+
 @query(
     """WITH l AS (SELECT label, unnest(range(10)) AS d, CAST(unnest(list_slice(embedding, 1, 10)) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM l GROUP BY ALL)
 SELECT a.label AS i, b.label AS j, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) AS similarity FROM m a JOIN m b USING (d) GROUP BY a.label, b.label"""
@@ -54,6 +65,17 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *(F.round(F.get("features", F.lit(i)), 6).alias(f"x{i + 1}") for i in range(8)))
 
 
+@query(
+    """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+l AS (SELECT vec_id, norm, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM n)
+SELECT vec_id AS id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN norm > 0 THEN x / norm ELSE x END, 6) AS x FROM l"""
+)
+def l2_normalize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole vectors (V15), a row per component; ``l2_normalize`` has the first eight of its SQL."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    return similarity.l2_normalize(vectors, "features").select("id", F.posexplode("features").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 @query(f"WITH {A_SQL} SELECT id, cluster, round(distance, 6) AS distance FROM asg")
 def assign_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.assign(points(spark, sf_dir), _centroids(spark, sf_dir)).select("id", "cluster", F.round("distance", 6).alias("distance"))

@@ -41,3 +41,20 @@ def test_groups_by_suffix_takes_the_first_path_that_ends_in_the_name(spark):
         want[path] = (min(ends)[1], True) if ends else (None, False)
     assert got == want
     assert got["/t/825"] == ("a", True) and got["/"] == ("c", True) and got["/t/y.h5/."] == (None, True)
+
+
+def test_l2_normalize_whole_keeps_every_component(spark, tmp_path):
+    x = embeddings(spark, tmp_path, range(7))
+    got = {(r["id"], r["dim"]): r["x"] for r in QUERIES["l2_normalize_whole"](spark, str(tmp_path)).collect()}
+    want = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted(got) == [(i, d) for i in range(7) for d in range(64)]
+    assert [got[i, d] for i in range(7) for d in range(64)] == pytest.approx(want.ravel().tolist(), abs=1e-6)
+
+
+def test_pc_zscore_all_scales_ten_components(spark, tmp_path):
+    x = embeddings(spark, tmp_path, range(9))[:, :10]
+    want = (x - x.mean(axis=0)) / x.std(axis=0)
+    rows = sorted(QUERIES["pc_zscore_all"](spark, str(tmp_path)).collect(), key=lambda r: r["id"])
+    assert len(rows) == 9
+    for r, z in zip(rows, want, strict=True):
+        assert [r[f"z_pc_{i}"] for i in range(1, 11)] == pytest.approx(z.tolist(), abs=1e-6)
