@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go from all but one; every document stays, n_chars follows its text."""
-    return line_dedup.with_kept_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.with_kept_lines(docs, distinct_docs=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), distinct_docs=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

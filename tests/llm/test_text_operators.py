@@ -10,7 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from seqlab.llm import bpe, licenses, line_dedup, token_counts, token_files
+from seqlab.llm.queries import QUERIES
 from seqlab.llm.encoder import PieceEncoder, default_path, id_to_piece, tokenizer
 
 TEXTS = [
@@ -263,3 +265,14 @@ def test_line_dedup_of_repeated_rows(spark):
     table = spark.createDataFrame([(i % 3, line) for i in range(6)], "doc_id long, text string")
     rows = line_dedup.dedup_lines(table).collect()
     assert sorted((r["doc_id"], r["n_dropped"]) for r in rows) == [(0, 1), (0, 1), (1, 1), (1, 1), (2, 0), (2, 0)]
+
+
+def test_line_dedup_query_and_stage_count_distinct_documents(spark, tmp_path):
+    few, many = "w" * 40, "v" * 40
+    rows = [(i % 2, few) for i in range(5)] + [(10 + i, many) for i in range(5)]  # five rows of two documents, and five documents
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(0, 0), (0, 0), (0, 0), (1, 0), (1, 0), (10, 1), (11, 1), (12, 1), (13, 1), (14, 0)]
+    stage = corpus_pipeline.dedup_lines(spark, table, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in stage if r["text"]) == [(0, few)] * 3 + [(1, few)] * 2 + [(14, many)]
