@@ -1,15 +1,14 @@
-"""Decontamination, top-k, near duplicates, toxicity, WARC and the pipeline: brute force and edge cases."""
+"""Decontamination, top-k, near duplicates, WARC and the pipeline: brute force and edge cases."""
 
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.llm import decontamination, near_dup, topk, toxicity, warc
+from seqlab.llm import decontamination, near_dup, topk, warc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -166,47 +165,6 @@ def test_components(spark):
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_grammar_tells_contexts_apart():
-    m = toxicity.Matcher(toxicity.Model())
-    of = lambda t: dict(zip(toxicity.OUTPUTS, m.counts(t), strict=True))
-    assert of("what an idiot")["I"] == 1
-    assert of("You are an IDIOT")["J"] == 1
-    assert of("not an idiot")["i"] == 1 and of("not an idiot")["I"] == 0
-    assert of("she said idiot")["r"] == 1
-    assert of("i will kill you")["X"] == 1 and of("kill time")["X"] == 0
-    assert of("not. idiot")["I"] == 1
-    assert sum(m.counts(None)) == sum(m.counts("")) == 0
-
-
-def test_toxicity_learns_only_from_allowed_rows(spark):
-    rng, v = random.Random(1), vocabulary(300, 1)
-    docs, labels = [], []
-    for i in range(600):
-        w, toxic = [rng.choice(v) for _ in range(30)], int(i % 6 == 0)
-        if toxic:
-            w[5:5] = [f"zzbad{rng.choice('abcdef')}x", "plain"]
-        docs.append((i, " ".join(w), "x"))
-        out = zlib.crc32(str(i).encode()) % 4 == 2
-        labels.append((i, (1 - toxic) if out else toxic))  # wrong labels where none may be read
-    d = spark.createDataFrame(docs + [(9000, None, "x"), (9001, "", "x"), (None, "idiot", "x")], "doc_id long, text string, score string")
-    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(d, model).collect()}
-    assert len(rows) == 603
-    for i in range(600):
-        assert rows[i]["predicted"] == int(i % 6 == 0)
-        assert rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
-    assert rows[9000]["predicted"] == rows[9001]["predicted"] == 0 and rows[None]["predicted"] == 1
-    kept = toxicity.keep_clean(d, model)
-    assert kept.columns == d.columns and kept.count() == 603 - 101
-
-
-def test_toxicity_without_labels(spark):
-    d = spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string")
-    model = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d, model).collect()} == {1: 1, 2: 0}
-    assert toxicity.score_toxicity(d.where("false"), model).count() == 0
-
-
 def test_warc_round_trip(spark, tmp_path):
     big, other = "<p>é</p>" * 200, "x" * 1500
     pages = [(1, "http://a.example.com/x?q=1", big), (2, "http://b.example.com", big), (9, "http://c.example.com/é \r\nX: y", big), (3, "", "short"), (4, None, "short"), (5, "http://[bad", None), (6, "http://a.example.com/x?q=1", other), (6, "http://a.example.com/x?q=1", other), (7, "http://a.example.com/x?q=1", other), (None, "http://n", "n")]
