@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,13 +22,17 @@ def merge_schedules(file_map: DataFrame, dosing: DataFrame, *, keys: tuple[str,
     return out.withColumn("filename_clean", without_literal(F.col("filename")))
 
 
-def update_groups(files: DataFrame, merged: DataFrame) -> DataFrame:
+def update_groups(files: DataFrame, merged: DataFrame, *, order: Sequence[str] = KEYS) -> DataFrame:
     """Files (path, group) with the treatment of their stem as group (J3); without one the group stays.
 
-    Of repeated file names the last treatment in order counts. ``changed`` marks
+    Of rows that repeat a file name the last counts: a merged table is in
+    ascending order of its keys, and ``order`` names those that ``merged`` has
+    (nulls come first); rows equal in them are told apart by the treatment. A
+    null treatment of the last row leaves the group as it is. ``changed`` marks
     files whose group is another now (J12).
     """
-    treat = merged.where(F.col("filename_clean").isNotNull()).groupBy(F.col("filename_clean").alias("_stem")).agg(F.max("treat").alias("_treat"))
+    place = F.struct(*(F.col(c) for c in order if c in merged.columns), "treat")
+    treat = merged.where(F.col("filename_clean").isNotNull()).groupBy(F.col("filename_clean").alias("_stem")).agg(F.max_by("treat", place).alias("_treat"))
     met = files.withColumn("_name", stem(F.col("path"))).join(treat, F.col("_name") == F.col("_stem"), "left")
     new = F.coalesce("_treat", "group")
     return met.withColumn("changed", ~new.eqNullSafe(F.col("group"))).withColumn("group", new).drop("_name", "_stem", "_treat")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as X
@@ -124,15 +124,24 @@ def trajectory_detrend_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("i", "j", F.round("correlation", 6).alias("correlation"))
 
 
+#: Values are cents: their mean is summed as such and rounded half up, so that no order of sums decides a tie.
+MEAN_SQL = "CAST((sum(CAST(round(value * 100) AS BIGINT)) * 20000 + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000"
+
+
+def exact(value: Column) -> Column:
+    """Cents as decimals, whose means Spark rounds half up at six digits."""
+    return value.cast("decimal(18,2)")
+
+
 @query(
     f"""WITH {D_SQL}, x AS (SELECT r.label, r.value, dur.fwd / 1.0 AS s FROM r JOIN dur USING (uuid, run_id) WHERE r.onset)
-SELECT label, count(*) AS n_onsets, round(avg(value), 6) AS avg_value, round(stddev_samp(value), 6) AS std_value, round(avg(s), 6) AS avg_duration_s, round(stddev_samp(s), 6) AS std_duration_s,
+SELECT label, count(*) AS n_onsets, {MEAN_SQL} AS avg_value, round(stddev_samp(value), 6) AS std_value, round(avg(s), 6) AS avg_duration_s, round(stddev_samp(s), 6) AS std_duration_s,
 round(count(*) / sum(count(*)) OVER (), 6) AS normalized_frequency FROM x GROUP BY label"""
 )
 def label_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     onsets = sequence.run_durations(sequence.mark_onsets(frames(spark, sf_dir))).where("onset")
-    out = features.label_features(onsets, ["value"], fps=FPS)
-    return out.select("label", "n_onsets", *(F.round(c, 6).alias(c) for c in ("avg_value", "std_value", "avg_duration_s", "std_duration_s", "normalized_frequency")))
+    out = features.label_features(onsets.withColumn("value", exact(F.col("value"))), ["value"], fps=FPS)
+    return out.select("label", "n_onsets", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("avg_value", "std_value", "avg_duration_s", "std_duration_s", "normalized_frequency")))
 
 
 @query(
@@ -158,13 +167,13 @@ def relabel_single_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {O_SQL} SELECT uuid % 3 AS "group", uuid, label, count(*) AS n, round(avg(value), 6) AS avg_value, round(count(*) / sum(count(*)) OVER (PARTITION BY uuid), 6) AS usage
+    f"""WITH {O_SQL} SELECT uuid % 3 AS "group", uuid, label, count(*) AS n, {MEAN_SQL} AS avg_value, round(count(*) / sum(count(*)) OVER (PARTITION BY uuid), 6) AS usage
 FROM r WHERE onset GROUP BY uuid, label"""
 )
 def group_usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequence.mark_onsets(frames(spark, sf_dir)).withColumn("group", F.col("uuid") % 3)
-    out = usage.group_usage_stats(rows, ["value"])
-    return out.select("group", "uuid", "label", "n", F.round("avg_value", 6).alias("avg_value"), F.round("usage", 6).alias("usage"))
+    out = usage.group_usage_stats(rows.withColumn("value", exact(F.col("value"))), ["value"])
+    return out.select("group", "uuid", "label", "n", F.col("avg_value").cast("double").alias("avg_value"), F.round("usage", 6).alias("usage"))
 
 
 #: A frame is empty if its value is under 25.

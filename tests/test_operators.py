@@ -345,6 +345,8 @@ def test_treatments(spark):
     assert got == {1: ("x", "drug"), 2: ("y", None), 3: (None, None), 9: (None, "none")}
     files = treatments.index_to_rows(spark, {"files": [{"path": ["/d/x.h5"], "group": "g"}, {"path": ["/d/y.h5"], "group": "g"}]})
     assert {r["path"]: (r["group"], r["changed"]) for r in treatments.update_groups(files, merged).collect()} == {"/d/x.h5": ("drug", True), "/d/y.h5": ("g", False)}
+    twice = spark.createDataFrame([("x", 1, "zzz"), ("x", 3, "aaa"), ("x", 2, "mmm"), ("y", 1, "b"), ("y", 2, None)], "filename_clean string, day int, treat string")
+    assert {r["path"]: r["group"] for r in treatments.update_groups(files, twice).collect()} == {"/d/x.h5": "aaa", "/d/y.h5": "g"}
     document = {"files": [{"path": ["/d/x.h5"], "group": "g"}], "other": 1}
     assert treatments.rows_to_index(document, treatments.update_groups(files, merged))["files"][0]["group"] == "drug"
     source = spark.createDataFrame([("/a/x.h5", "g1", 1), ("/b/x.h5", "g0", 0)], "path string, group string, position int")
