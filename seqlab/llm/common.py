@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by a session on one machine that names no shared folder, as in tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 #: The bytes that separate words, after A-Z have been lower-cased.
@@ -31,32 +31,56 @@ _TO_SPACE = bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 #: The same words as a Java regex of separators, for text not yet lower-cased.
 SEPARATOR_REGEX = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-_made: set[str] = set()
+_made: dict[str, None] = {}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI; without a scheme it is one of the cluster's default file system, for Spark and for tasks alike."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``, else a local default."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The shared folder named by ``spark.checkpoint.dir``; only a session on one machine may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return qualified(spark, named or DEFAULT_SHARED).rstrip("/")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
+    """A new path in the shared folder; removed by ``discard``, or when the driver ends."""
     path = f"{shared_dir(spark)}/seqlab-{tag}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
-    _made.add(path)
+    _made[path] = None
     return path
 
 
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _made.pop(path, None)
+
+
+def scratch_paths() -> list[str]:
+    """The scratch paths there are, in the order in which they were made."""
+    return list(_made)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch paths that nothing reads any more."""
+    _delete(spark, [p for p in paths if p in _made])
+
+
 def _clean() -> None:
     session = SparkSession.getActiveSession()
     if session is None:
         return
     try:
-        jvm, conf = session._jvm, session._jsc.hadoopConfiguration()
-        for path in _made:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        _delete(session, scratch_paths())
     except Exception:  # the JVM may have gone first; scratch tables are only left behind
         pass
 

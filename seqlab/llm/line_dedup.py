@@ -64,7 +64,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_kept_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, distinct_docs: bool = False) -> DataFrame:
+def with_kept_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the lines that stay as their text, and all other columns.
 
     As ``dedup_lines`` (see there); a null text stays null.
@@ -72,7 +72,7 @@ def with_kept_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5,
     columns = docs.columns
     key, gone = unused("row_key", columns), unused("drops", columns)
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    drops = _drops(keyed.select("doc_id", "text", F.col(key).alias("row_key")), min_chars, min_docs, distinct_docs).withColumnRenamed("drops", gone)
+    drops = _drops(keyed.select("doc_id", "text", F.col(key).alias("row_key")), min_chars, min_docs).withColumnRenamed("drops", gone)
     drop_id, drop_key = drops.columns[0], drops.columns[1]
     met = keyed.join(drops, keyed["doc_id"].eqNullSafe(drops[drop_id]) & (keyed[key] == drops[drop_key]), "left").select(*(keyed[c] for c in columns), drops[gone])
 
@@ -86,13 +86,11 @@ def with_kept_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5,
     return met.mapInArrow(kept, docs.schema)
 
 
-def _drops(rows: DataFrame, min_chars: int, min_docs: int, distinct_docs: bool) -> DataFrame:
+def _drops(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """For each (drop_id, drop_key) the positions of lines to drop. ``rows``: doc_id, text, row_key."""
     lines = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "row_key").mapInArrow(_line_rows(min_chars), LINES)
-    if distinct_docs:
-        common = lines.groupBy("line_hash", "doc_id").agg(F.lit(1).alias("n")).groupBy("line_hash").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-    else:
-        common = lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    held = lines.select("line_hash", "doc_id").distinct()  # a document counts once, however often its row is repeated
+    common = held.groupBy("line_hash").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
     common = common.where(F.col("n_docs") >= min_docs)
     common = saved(common, "common-lines")  # so that the join has an exchange on either side and a hot line can be split
     return (
@@ -104,7 +102,7 @@ def _drops(rows: DataFrame, min_chars: int, min_docs: int, distinct_docs: bool)
     )
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, distinct_docs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Drop shared lines from every document; one row per input row.
 
     A line's key is the line without white space at its ends, A-Z lower-cased.
@@ -114,18 +112,18 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, dist
     n_lines (before), n_dropped and kept_sha256; other columns are not carried.
 
     Edge cases: a null or empty text is one empty line and stays so (text is
-    then empty). Each input row counts as a document of its own, so repeated
-    rows count repeatedly; with ``distinct_docs`` the distinct doc_ids count,
-    null not being one. Rows that share the largest doc_id all keep the line. A null doc_id is below every other. An empty table gives no rows.
+    then empty). Documents are distinct doc_ids, so rows that repeat one count
+    once; null is none, and below every other. Rows that share the largest
+    doc_id all keep the line. An empty table gives no rows.
 
-    Plan: one shuffle of (hash, partial count, largest id), and with
-    ``distinct_docs`` one of (hash, doc_id) before it; one of the lines'
+    Plan: one shuffle of distinct (hash, doc_id), and one of (hash, partial
+    count, largest id); one of the lines'
     hashes joined to the hashes to drop (a hot line is split by adaptive skew
     handling, and its count is combined before the shuffle); one of the texts
     joined to their dropped positions. No group is collected, but the dropped
     positions of one document.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("text"))
-    drops = _drops(rows, min_chars, min_docs, distinct_docs)
+    drops = _drops(rows, min_chars, min_docs)
     met = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("row_key") == F.col("drop_key")), "left")
     return met.select("doc_id", "row_key", "text", "drops").mapInArrow(_reassemble, KEPT)

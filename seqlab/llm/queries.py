@@ -52,7 +52,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), distinct_docs=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +90,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """,
     "op7_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
 k AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY ALL)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN keeper > page_id THEN keeper END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper > page_id OR (page_id IS NULL AND keeper IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper > page_id OR page_id IS NULL THEN keeper END AS refers_to
 FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """,
     "op9_line_dedup": r"""

@@ -29,15 +29,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import saved, scratch
+from seqlab.llm.common import qualified, saved, scratch
 
 CAPTURES = "url_key string, page_id long, archive string, offset long, length long, record_type string, payload_digest string, payload_bytes long"
 DIRECTORY = "first_key string, last_key string, index_file string, offset long, length long, n_captures int"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
+#: Compressed bytes that a task reads back, and that are read by the same task.
+TASK_BYTES, RANGE_BYTES = 1 << 26, 1 << 20
+
 #: Payloads below this are always stored.
 LEAST_BYTES = 1000
 ID, DATE = "urn:x-capture:", "1970-01-01T00:00:00Z"
+
+#: A record without a page_id is named by its place.
+UNNAMED = "at-"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,21 +59,21 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def _folder(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
 
 
 def _warc_url(url: str | None) -> str:
     return quote(url or "", safe="".join(chr(c) for c in range(0x21, 0x7F)))
 
 
-def _record(page_id: int, url: str, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
+def _record(record_id: str, url: str, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{ID}{page_id}>",
+        f"WARC-Record-ID: <{ID}{record_id}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
@@ -86,7 +92,8 @@ def parse_record(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     n = int(re.search(rb"Content-Length: (\d+)", http)[1])
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
-    kind, number = fields["WARC-Type"], lambda x: int(x.strip("<>").removeprefix(ID))
+    kind, name = fields["WARC-Type"], lambda x: x.strip("<>").removeprefix(ID)
+    number = lambda x: None if name(x).startswith(UNNAMED) else int(name(x))
     if kind == "response" and (len(payload) != n or hashlib.sha1(payload).digest() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     return {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload_bytes": n, "payload_digest": digest.hex(), "record_type": kind, "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
@@ -104,18 +111,23 @@ def _archive_writer(folder: str, level: int):
                     sink = filesystem.open_output_stream(f"{base}/{name}", compression=None)
                 payload = html.encode()
                 digest = hashlib.sha1(payload).digest()
-                record = gzip.compress(_record(page_id, _warc_url(url), payload, digest, refers_to), level, mtime=0)
+                record = gzip.compress(_record(f"{UNNAMED}{name}-{at}" if page_id is None else str(page_id), _warc_url(url), payload, digest, refers_to), level, mtime=0)
                 sink.write(record)
                 rows.append((url_key(url), page_id, f"{folder}/{name}", at, len(record), "response" if refers_to is None else "revisit", digest.hex(), len(payload)))
                 at += len(record)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in CAPTURES.split(", ")])
+                yield _captures(rows)
         if sink is not None:
             sink.close()
 
     return write
 
 
+def _captures(rows: list) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in CAPTURES.split(", ")])
+
+
 def _payload() -> Column:
     return F.coalesce("html", F.lit(""))
 
@@ -126,19 +138,23 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = LEAST_BY
     Of pages with equal payloads of at least ``least_bytes`` bytes (by SHA-1 and
     length), the largest page_id is stored and the others revisit it; a page
     that repeats that page_id is stored too. A null html is empty, a null url
-    is the empty URL. Pages with a null page_id can't be named and are left out.
+    is the empty URL. A null page_id is below every other: such a page revisits
+    the largest, and is stored where no page has one; its record is named by its
+    place, and is read back with a null page_id.
 
     Plan: digests are grouped with map-side combining, so that a payload that
     many pages share is one row per task; digests of two pages or more are
     joined back to narrow rows (digest, page_id), and what each page refers to
     is joined to the pages on page_id.
     """
-    pages = pages.select("page_id", "url", _payload().alias("html")).where(F.col("page_id").isNotNull())
+    folder = qualified(pages.sparkSession, folder)
+    pages = pages.select("page_id", "url", _payload().alias("html"))
     narrow = pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"))
-    shared = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where(F.col("keeper") > F.col("least")).drop("least")
+    ids = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least"), F.count_if(F.col("page_id").isNull()).alias("unnamed"))
+    shared = ids.where((F.col("keeper") > F.col("least")) | (F.col("keeper").isNotNull() & (F.col("unnamed") > 0))).select("digest", "n", "keeper")
     shared = saved(shared, "shared-payloads")  # so that the join has an exchange on either side and a hot payload can be split
-    refers = narrow.join(shared, ["digest", "n"]).where(F.col("page_id") != F.col("keeper")).select("page_id", "digest", F.col("keeper").alias("refers_to")).distinct()
-    met = pages.withColumn("digest", F.sha1("html")).join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    refers = narrow.join(shared, ["digest", "n"]).where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("from_id"), F.col("digest").alias("from_digest"), F.col("keeper").alias("refers_to")).distinct()
+    met = pages.join(refers, F.col("page_id").eqNullSafe(F.col("from_id")) & (F.sha1("html") == F.col("from_digest")), "left").select("page_id", "url", "html", "refers_to")
     return saved(met.mapInArrow(_archive_writer(folder, level), CAPTURES), "captures")
 
 
@@ -180,6 +196,7 @@ def write_index(captures: DataFrame, folder: str, *, block_lines: int = 1000) ->
     length, n_captures. Captures are range-partitioned by (url_key, page_id), so
     that a host or a URL with very many captures is split.
     """
+    folder = qualified(captures.sparkSession, folder)
     parts = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = captures.repartitionByRange(parts, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return saved(ordered.mapInArrow(_index_writer(folder, block_lines), DIRECTORY), "capture-directory")
@@ -201,7 +218,7 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("index_file", "offset", "length")), strict=True):
             with _open(file) as source:
                 lines = _block_lines(source, offset, length)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*lines, strict=True)], names=[c.split()[0] for c in CAPTURES.split(", ")])
+            yield _captures(lines)
 
 
 def _read_records(with_payload: bool, gap: int = 1 << 16, most: int = 1 << 23):
@@ -241,8 +258,15 @@ def _read_records(with_payload: bool, gap: int = 1 << 16, most: int = 1 << 23):
 
 
 def read_captures(captures: DataFrame, *, with_payload: bool = True) -> DataFrame:
-    """The records of captures (archive, offset, length), read by range in the archives' order and verified."""
-    near = captures.select("archive", "offset", "length").repartition("archive", F.floor(F.col("offset") / (1 << 26))).sortWithinPartitions("archive", "offset")
+    """The records of captures (archive, offset, length), read by range in the archives' order and verified.
+
+    The captures are written first, so that the bytes of their records say how
+    many tasks read them: rows of captures are small, and so they would be few.
+    """
+    places = saved(captures.select("archive", "offset", "length"), "asked-captures")
+    held = places.agg(F.sum("length")).first()[0] or 0
+    n = max(1, -(-held // TASK_BYTES), min(places.sparkSession.sparkContext.defaultParallelism, held // RANGE_BYTES))
+    near = places.repartition(n, "archive", F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("archive", "offset")
     return near.mapInArrow(_read_records(with_payload), RECORDS)
 
 
@@ -266,7 +290,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         lines = read[k]
                         found += lines[bisect_left(lines, key, key=lambda x: x[0]) : bisect_right(lines, key, key=lambda x: x[0])]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=[c.split()[0] for c in CAPTURES.split(", ")])
+                yield _captures(found)
 
 
 def lookup(directory: DataFrame, urls: DataFrame, *, keys_at_once: int = 10_000) -> DataFrame:
