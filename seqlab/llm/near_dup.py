@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import ascii_words, broadcast_if_small, saved, sorted_runs
 
 HASHES, BAND = 128, 4
+
+#: Most members of a block, and about how many bytes of their shingles it may have.
+MOST_MEMBERS, BLOCK_BYTES = 8192, 1 << 25
 SIGNED = "doc_id long, set_key binary, n_shingles int, signature binary"
 
 _random = np.random.default_rng(20240229)
@@ -114,16 +117,18 @@ def least_matches(threshold: float, tolerance: float, step: int = 16) -> list[in
     return out
 
 
-def _candidates(sizes: np.ndarray, side: np.ndarray, other: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block (or of two) whose sizes allow the threshold."""
-    if other:
-        a, b = np.flatnonzero(~side), np.flatnonzero(side)
-        first, second = np.repeat(a, len(b)), np.tile(b, len(a))
-    else:
-        first, second = np.triu_indices(len(sizes), 1)
-    small, large = np.minimum(sizes[first], sizes[second]), np.maximum(sizes[first], sizes[second])
-    fit = small >= threshold * large - 1e-9
-    return first[fit], second[fit]
+def _candidates(sizes: np.ndarray, side: np.ndarray, other: bool, threshold: float, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a block (or of two) whose sizes allow the threshold, some at a time, so that only members are held."""
+    a, b = (np.flatnonzero(~side), np.flatnonzero(side)) if other else (np.arange(len(sizes)),) * 2
+    for i in range(0, len(a), chunk):
+        for j in range(0 if other else i, len(b), chunk):
+            x, y = a[i : i + chunk], b[j : j + chunk]
+            first, second = np.repeat(x, len(y)), np.tile(y, len(x))
+            if not other and i == j:
+                first, second = first[first < second], second[first < second]
+            small, large = np.minimum(sizes[first], sizes[second]), np.maximum(sizes[first], sizes[second])
+            fit = small >= threshold * large - 1e-9
+            yield first[fit], second[fit]
 
 
 def _prune(signatures: np.ndarray, first: np.ndarray, second: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +171,12 @@ def _link_candidates(threshold: float, tolerance: float):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for run in sorted_runs(batches, ["bucket", "i", "j"]):
             ids, sizes, signatures, side, other = _run_arrays(run)
-            root = _roots(len(ids), *_prune(signatures, *_candidates(sizes, side, other, threshold), least))
+            root = np.arange(len(ids))
+            for first, second in _candidates(sizes, side, other, threshold):
+                apart = root[first] != root[second]  # what is joined already needs no other edge
+                first, second = _prune(signatures, first[apart], second[apart], least)
+                if len(first):
+                    root = _roots(len(ids), np.concatenate([root, first]), np.concatenate([np.arange(len(ids)), second]))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             if len(moved):
                 held.append((ids[root[moved]], ids[moved]))
@@ -211,16 +221,18 @@ def _verify(threshold: float, tolerance: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, ["comp", "i", "j"]):
             ids, sizes, signatures, side, other = _run_arrays(run)
-            first, second = _prune(signatures, *_candidates(sizes, side, other, threshold), least)
-            if not len(first):
-                continue
             sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
-            rows, columns = np.unique(first), np.unique(second)
-            shared = _shared(sets, rows, columns)[np.searchsorted(rows, first), np.searchsorted(columns, second)]
-            linked = shared >= threshold * (sizes[first].astype(np.int64) + sizes[second] - shared) - 1e-9
-            first, second = first[linked], second[linked]
-            links = np.bincount(first, minlength=len(ids)) + np.bincount(second, minlength=len(ids))
-            root = _roots(len(ids), first, second)
+            links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for first, second in _candidates(sizes, side, other, threshold):
+                first, second = _prune(signatures, first, second, least)
+                if not len(first):
+                    continue
+                rows, columns = np.unique(first), np.unique(second)
+                shared = _shared(sets, rows, columns)[np.searchsorted(rows, first), np.searchsorted(columns, second)]
+                linked = shared >= threshold * (sizes[first].astype(np.int64) + sizes[second] - shared) - 1e-9
+                first, second = first[linked], second[linked]
+                links += np.bincount(first, minlength=len(ids)) + np.bincount(second, minlength=len(ids))
+                root = _roots(len(ids), np.concatenate([root, first]), np.concatenate([np.arange(len(ids)), second]))
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]]), pa.array(links[some])], names=["id", "root", "links"])
 
@@ -254,6 +266,17 @@ def components(edges: DataFrame) -> DataFrame:
     return members
 
 
+def members_per_block(n: Column, shingles: Column, block: int) -> Column:
+    """Members of a block of a component of ``n`` members with ``shingles`` shingles in all.
+
+    A sixteenth of the component, so that a member goes to sixteen blocks
+    however large it is (to more only beyond MOST_MEMBERS or BLOCK_BYTES, which
+    bound what a task holds); small components are one block.
+    """
+    fit = F.floor(n.cast("double") * BLOCK_BYTES / 8 / F.greatest(shingles.cast("double"), F.lit(1.0)))
+    return F.greatest(F.lit(1), F.least(F.greatest(F.lit(max(1, block // 4)), F.ceil(n / 16)), F.lit(MOST_MEMBERS), fit))
+
+
 def _block_pairs(rows: DataFrame, n: str, per: Column) -> DataFrame:
     """Deal the rows of each group to blocks of about ``per`` by a hash, and to every pair of blocks (i, j) that theirs is in."""
     blocks = F.ceil(F.col(n) / per).cast("int")
@@ -277,8 +300,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, t
     empty table gives no rows. Other columns are ignored.
 
     Plan: copies are combined before anything is joined. Large buckets and
-    components are dealt to blocks of about ``block`` members, and each pair of
-    blocks is a group of its own, so that no task's size grows with the group.
+    components are dealt to blocks (see ``members_per_block``), and each pair of
+    blocks is a group of its own, so that a task holds a bounded part of a group
+    and rows are not copied to more blocks as it grows. In a bucket, pairs that
+    others have joined already are not compared.
     Shingle sets are rebuilt only for members of candidate components.
     """
     rows = docs.select("doc_id", "text")
@@ -291,17 +316,18 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, t
     # written, so that the join below has an exchange on either side and a hot bucket can be split
     shared = saved(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = bands.join(shared, "bucket").join(reps.select("id", "n_shingles", "signature"), "id")
-    dealt = _block_pairs(members, "n", F.lit(2 * block))  # each pair of blocks puts out a forest of its own, so they are large
+    # each pair of blocks puts out a forest of its own, so they are large
+    dealt = _block_pairs(members, "n", F.least(F.greatest(F.lit(2 * block), F.ceil(F.col("n") / 16)), F.lit(MOST_MEMBERS)))
     keys = ["bucket", "i", "j"]
     candidates = components(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_candidates(threshold, tolerance), "a long, b long"))
 
-    sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    wanted = saved(candidates.join(sizes, "comp").join(reps.select("id", "rep_id", "set_key"), "id").select(F.col("rep_id").alias("doc_id"), "set_key", "id", "comp", "n"), "candidates")
+    candidates = candidates.join(reps.select("id", "rep_id", "set_key", "n_shingles"), "id")
+    sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    sizes = sizes.select("comp", "n", members_per_block(F.col("n"), F.col("total"), block).cast("long").alias("per"))
+    wanted = saved(candidates.join(sizes, "comp").select(F.col("rep_id").alias("doc_id"), "set_key", "id", "comp", "n", "per"), "candidates")
     wanted, _ = broadcast_if_small(wanted, max_broadcast_rows)
-    texts = rows.join(wanted, "doc_id").select("text", "set_key", "id", "comp", "n")
-    # a sixteenth of the component, within bounds: many tasks share one of some size, and rows of very large ones aren't copied too often
-    per = F.greatest(F.lit(max(1, block // 4)), F.least(F.lit(2 * block), F.ceil(F.col("n") / 16)))
-    dealt = _block_pairs(texts.mapInArrow(_sets(size), SETS).dropDuplicates(["id"]), "n", per)
+    texts = rows.join(wanted, "doc_id").select("text", "set_key", "id", "comp", "n", "per")
+    dealt = _block_pairs(texts.mapInArrow(_sets(size), SETS).dropDuplicates(["id"]), "n", F.col("per")).drop("per")
     keys = ["comp", "i", "j"]
     verified = saved(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold, tolerance), "id long, root long, links long"), "links")
 
@@ -319,7 +345,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, t
     )
 
 
-SETS = "id long, comp long, n long, n_shingles int, signature binary, shingles binary"
+SETS = "id long, comp long, n long, per long, n_shingles int, signature binary, shingles binary"
 
 
 def _sets(size: int):
@@ -332,7 +358,7 @@ def _sets(size: int):
                 part = batch.slice(a, 500)
                 found = [shingle_set(t.as_py(), hashes, size) for t in part.column("text")]
                 same = [xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(found, part.column("set_key").to_pylist(), strict=True)]
-                columns = [part.column(c) for c in ("id", "comp", "n")] + [pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
+                columns = [part.column(c) for c in ("id", "comp", "n", "per")] + [pa.array([len(s) for s in found], pa.int32()), pa.array([signature(s).tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SETS.split(", ")]).filter(pa.array(same))
 
     return sets
