@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import saved
+from seqlab.llm.common import saved, scratch
 
 PACKED = "block int, ids binary, owner binary, term binary, weight binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -117,8 +117,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block_rows: int
 
     Plan: every query meets every candidate, in blocks. ``query_blocks`` packed
     blocks of ``query_rows`` queries are broadcast at once (a bound in rows);
-    more queries take more passes over the candidates, whose blocks hold about
-    ``block_rows``. A task holds one block pair, and emits k rows per query at
+    more queries take more passes over the candidates, which are packed once, in
+    blocks of about ``block_rows``. Each pass appends what it found to one table
+    (k rows per query and block at most), so that the plan does not grow with
+    the queries. A task holds one block pair, and emits k rows per query at
     most. No group grows with the data, whatever vectors are common.
     """
     usable = F.col("vec_id").isNotNull() & F.col("weights").isNotNull() & ~F.exists("weights", lambda x: x.isNull())
@@ -133,15 +135,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, block_rows: int
 
     parts = ("ids", "owner", "term", "weight")
     candidates, _ = packed_blocks(vectors, block_rows, "topk-candidates")
+    candidates = saved(candidates, "topk-packed-candidates")
     asked, n_asked = packed_blocks(queries, query_rows, "topk-queries")
     asked = saved(asked.select(F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in parts)), "topk-packed-queries")
-    found = None
+    path = scratch(vectors.sparkSession, "topk-found")
     for first in range(0, n_asked, query_blocks):
         last = min(first + query_blocks, n_asked) - 1
         dealt = candidates.select(*(F.col(c).alias(f"c_{c}") for c in parts), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("q_block"))
         pairs = dealt.join(F.broadcast(asked.where(F.col("q_block").between(first, last))), "q_block")
         part = pairs.select(*(f"{s}_{c}" for s in "qc" for c in parts)).mapInArrow(_accumulate(k), FOUND)
-        found = part if found is None else found.unionAll(part)
+        part.write.mode("append").parquet(path)
+    found = vectors.sparkSession.read.schema(FOUND).parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
