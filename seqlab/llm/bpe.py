@@ -29,6 +29,10 @@ from seqlab.llm.encoder import default_path, id_to_piece, in_chunks, piece_encod
 WORDS = "bucket int, block long, words binary"
 #: kind 0: ids of a bucket's words; 1: the bucket of each word number; 2: documents as word numbers.
 PARTS = "block long, kind int, bucket int, payload binary, doc_ids array<long>, lengths array<int>"
+
+#: Bytes of text for which there is a bucket of words, and the most buckets: a block puts out a row for each.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 26, 1024
+
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string, ids_sha256 string, decoded_sha256 string"
 
 
@@ -224,18 +228,21 @@ def encode_decode(docs: DataFrame, *, tokenizer_path: str | None = None, outputs
     by default; text without spaces is one word. Repeated rows and null doc_ids
     give a row each. An empty table gives none. Other columns are ignored.
 
-    Plan: two shuffles - the packed distinct words of blocks by bucket (as many
-    as shuffle partitions, unless ``buckets`` says so), and by block their ids
+    Plan: two shuffles - the packed distinct words of blocks by bucket (one for
+    BUCKET_BYTES of text, within bounds, unless ``buckets`` says so; a bucket is
+    read as a stream), and by block their ids
     and the documents as compressed word numbers. A common word is in one pack
     of each block.
     """
     path = tokenizer_path or default_path()
-    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", "text")
     if not fixed_scan:
         rows = saved(rows, "bpe-docs")
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
     rows = rows.withColumn("part", F.spark_partition_id())  # of the scan, wherever its rows go next
     words = rows.mapInArrow(_word_lists(block_words, buckets), WORDS)
-    encoded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), PARTS)
+    encoded = words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), PARTS)
     parts = encoded.unionByName(rows.mapInArrow(_documents(block_words, buckets), PARTS))
     return parts.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_assemble(path, outputs), ENCODED)
