@@ -108,36 +108,251 @@ COMMONS = (
     ("cc-by", r"by|attribution"),
 )
 
-#: Where a family's name makes a notice: (kind, priority, pattern around NAME).
-SHAPES = (
-    ("identifier", 1, r"spdx license identifier (?:NAME)(?: only| or later)?"),
-    ("notice", 2, r"(?:licensed|released|distributed|available|provided|published|covered|redistributed|offered|dual licensed) (?:(?:to you )?under|by) (?:the )?(?:terms of )?(?:the )?(?:terms of )?(?:the )?(?:NAME)(?: licen[sc]e)?(?: version \d(?: \d)?)?"),
-    ("terms", 3, r"(?:under|subject to|according to|pursuant to|permitted by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME) licen[sc]e"),
-    ("field", 4, r"licen[sc]es? (?:type |is |id |name )?(?:the )?(?:NAME)(?: licen[sc]e)?"),
-    ("name", 5, r"(?:the )?(?:NAME) licen[sc]e(?: version \d(?: \d)?)?"),
+#: Where a family's name makes a notice: one pattern around NAME.
+NOTICE = (
+    r"(?:licensed|released|distributed|available|provided|published|covered|redistributed|offered) (?:(?:to you )?under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME)(?: licen[sc]e)?(?: version \d(?: \d)?)?"
+    r"|(?:under|subject to|according to|pursuant to|permitted by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME) licen[sc]e"
+    r"|licen[sc]es? (?:type |is |id |name )?(?:the )?(?:NAME)(?: licen[sc]e)?"
+    r"|(?:the )?(?:NAME) licen[sc]e(?: version \d(?: \d)?)?"
 )
 
-#: Texts of licenses and general notices: (label, priority, pattern).
-TEXTS = (
-    ("mit", 1, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 1, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+#: Hand-written signatures: (label, priority, pattern), the grants, conditions, disclaimers, headers and identifiers of licenses and of general notices.
+SIGNATURES = (
+    # MIT and its relatives
+    ("mit", 1, r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?"),
+    ("mit", 1, r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish"),
+    ("mit", 2, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 2, r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", 2, r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", 2, r"opensource org licenses mit(?: license)?"),
+    ("mit", 3, r"mit style licen[sc]e|mit licensed|licensed mit|mit x11 style"),
+    ("mit", 1, r"spdx license identifier mit"),
+    ("mit-0", 1, r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .{0,200}?furnished to do so the software is provided"),
+    ("mit-0", 1, r"spdx license identifier mit 0"),
+    ("mit-advertising", 1, r"except as contained in this notice the names? of .{0,100}? shall not be used in advertising or otherwise to promote the sale"),
+    ("x11", 2, r"x11 is a trademark of|x window system is a trademark of"),
+    ("isc", 1, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", 1, r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("isc", 2, r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("isc", 2, r"in no event shall the author be liable for any special direct indirect or consequential damages"),
+    ("isc", 1, r"spdx license identifier isc"),
+    ("0bsd", 1, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("ntp", 1, r"permission to use copy modify and distribute this software and its documentation for any purpose .{0,40}?fee is hereby granted"),
+    ("ntp", 2, r"makes no representations about the suitability (?:of )?this software for any purpose"),
+    ("hpnd", 2, r"historical permission notice and disclaimer"),
+    # BSD
     ("bsd", 2, r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 3, r"redistributions of source code must retain the above copyright notice this list of conditions"),
+    ("bsd", 3, r"redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd", 3, r"this software is provided by the (?:copyright holders and contributors|author|authors|regents and contributors) as is and any express or implied warranties"),
+    ("bsd", 3, r"procurement of substitute goods or services loss of use data or profits or business interruption"),
     ("bsd-3", 2, r"neither the names? of .{0,120}? may be used to endorse or promote products"),
-    ("bsd-4", 2, r"all advertising materials mentioning features or use of this software"),
-    ("apache-2", 1, r"www apache org licenses license 2 0"),
-    ("gpl", 2, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 1, r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", 1, r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("bsd-3", 2, r"the name of the author may not be used to endorse or promote products derived from this software"),
+    ("bsd-3", 1, r"opensource org licenses bsd 3 clause"),
+    ("bsd-3", 1, r"spdx license identifier bsd 3 clause"),
+    ("bsd-2", 1, r"opensource org licenses bsd 2 clause"),
+    ("bsd-2", 1, r"spdx license identifier bsd 2 clause"),
+    ("bsd-2", 2, r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("bsd-4", 1, r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd-4", 2, r"this product includes software developed by the university of california berkeley"),
+    ("bsd-clear", 1, r"no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-patent", 1, r"bsd 2 clause plus patent|bsd plus patent"),
+    ("bsd", 3, r"bsd style licen[sc]e|bsd licensed|use of this source code is governed by a bsd style"),
+    # Apache
+    ("apache-2", 1, r"www apache org licenses license 2 0(?: txt| html)?"),
+    ("apache-2", 1, r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", 2, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 1, r"subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-2", 2, r"you must give any other recipients of the work or derivative works a copy of this license"),
+    ("apache-2", 2, r"you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2", 2, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", 1, r"spdx license identifier apache 2 0"),
+    ("apache-2", 3, r"apache 2 0 licensed|apache v2 licen[sc]e|alv2"),
+    ("apache-1.1", 1, r"this product includes software developed by the apache software foundation"),
+    ("apache-1.1", 2, r"products derived from this software may not be called apache nor may apache appear in their name"),
+    ("apache-1.0", 2, r"this product includes software developed by the apache group for use in the apache http server project"),
+    # GPL family
+    ("gpl", 3, r"you can redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?"),
+    ("gpl-2", 2, r"under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-2", 2, r"under the terms of the gnu general public license version 2 (?:only )?as published by the free software foundation"),
+    ("gpl-3", 2, r"under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-3", 2, r"under the terms of the gnu general public license version 3 (?:only )?as published by the free software foundation"),
+    ("gpl-2", 1, r"gnu general public license version 2 june 1991"),
+    ("gpl-3", 1, r"gnu general public license version 3 29 june 2007"),
+    ("gpl-1", 1, r"gnu general public license version 1 february 1989"),
+    ("gpl", 3, r"you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", 3, r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", 2, r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", 2, r"you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program"),
+    ("gpl-3", 2, r"you may convey a covered work in object code form under the terms of sections 4 and 5"),
+    ("gpl-3", 2, r"no covered work shall be deemed part of an effective technological measure"),
+    ("gpl-2", 1, r"spdx license identifier gpl 2 0(?: only| or later)?"),
+    ("gpl-3", 1, r"spdx license identifier gpl 3 0(?: only| or later)?"),
+    ("gpl-1", 1, r"spdx license identifier gpl 1 0(?: only| or later)?"),
+    ("gpl-2", 3, r"gplv2(?: or later)?|gpl v2"),
+    ("gpl-3", 3, r"gplv3(?: or later)?|gpl v3"),
+    ("gpl-3", 2, r"www gnu org licenses gpl 3 0"),
+    ("gpl-2", 2, r"www gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl", 4, r"www gnu org (?:licenses gpl|copyleft gpl)"),
+    ("gpl-classpath", 1, r"classpath exception|linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-autoconf", 1, r"autoconf (?:configure script )?exception|contains a configuration script generated by autoconf"),
+    ("gpl-gcc", 1, r"gcc runtime library exception"),
+    ("gpl-bison", 1, r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-font", 2, r"gpl font exception|if you create a document which uses this font and embed this font"),
+    ("lgpl", 2, r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1", 1, r"gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-2", 1, r"gnu library general public license version 2 june 1991"),
+    ("lgpl-3", 1, r"gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1", 1, r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", 1, r"gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl", 2, r"you should have received a copy of the gnu (?:lesser|library) general public license along with this"),
+    ("lgpl", 2, r"a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    ("lgpl-2.1", 1, r"spdx license identifier lgpl 2 1(?: only| or later)?"),
+    ("lgpl-2", 1, r"spdx license identifier lgpl 2 0(?: only| or later)?"),
+    ("lgpl-3", 1, r"spdx license identifier lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2.1", 3, r"lgplv2 1|lgpl v2 1"),
+    ("lgpl-3", 3, r"lgplv3|lgpl v3"),
+    ("agpl", 2, r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl-3", 1, r"gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3", 2, r"if you modify the program your modified version must prominently offer all users interacting with it remotely"),
+    ("agpl-3", 1, r"spdx license identifier agpl 3 0(?: only| or later)?"),
+    ("agpl-3", 3, r"agplv3|agpl v3"),
+    ("gfdl", 2, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", 2, r"with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl-1.3", 1, r"gnu free documentation license version 1 3"),
+    ("gfdl-1.2", 1, r"gnu free documentation license version 1 2"),
+    # weak copyleft
     ("mpl-2", 1, r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", 1, r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2", 2, r"mozilla org mpl 2 0"),
+    ("mpl-2", 2, r"incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-2", 1, r"spdx license identifier mpl 2 0"),
+    ("mpl-1.1", 1, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.1", 2, r"alternatively the contents of this file may be used under the terms of either the gnu general public license version 2"),
+    ("mpl-1.0", 1, r"the contents of this file are subject to the mozilla public license version 1 0"),
+    ("npl-1.1", 1, r"the contents of this file are subject to the netscape public license version 1 1"),
+    ("epl-2", 1, r"this program and the accompanying materials are made available under the terms of the eclipse public license v? ?2 0"),
+    ("epl-1", 1, r"this program and the accompanying materials are made available under the terms of the eclipse public license v? ?1 0"),
+    ("epl-2", 1, r"spdx license identifier epl 2 0"),
+    ("epl-1", 1, r"spdx license identifier epl 1 0"),
+    ("epl-2", 2, r"eclipse org legal epl 2 0"),
+    ("epl-1", 2, r"eclipse org legal epl v10"),
+    ("edl-1", 2, r"eclipse distribution license v? ?1 0"),
+    ("cpl-1", 1, r"the accompanying program is provided under the terms of this common public license"),
+    ("ipl-1", 1, r"the accompanying program is provided under the terms of this ibm public license"),
+    ("cddl-1", 1, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1", 1, r"spdx license identifier cddl 1 0"),
+    ("cddl-1.1", 1, r"spdx license identifier cddl 1 1"),
+    ("eupl-1.2", 1, r"licensed under the eupl (?:version )?1 2"),
+    ("eupl-1.1", 1, r"licensed under the eupl (?:version )?1 1"),
+    ("eupl", 2, r"licence for the european union public licence|european union public licence"),
+    ("osl-3", 1, r"licensed under the open software license version 3 0"),
+    ("afl-3", 1, r"licensed under the academic free license version 3 0"),
+    ("ms-pl", 1, r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-rl", 1, r"for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code"),
+    ("artistic-1", 1, r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2", 1, r"this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", 2, r"(?:under|on) the same terms as perl itself"),
+    ("qpl-1", 1, r"the q public license version 1 0"),
+    ("sissl", 1, r"sun industry standards source license"),
+    ("apsl-2", 1, r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
+    ("cecill-2", 1, r"this software is governed by the cecill licen[sc]e under french law"),
+    ("cecill-b", 1, r"this software is governed by the cecill b licen[sc]e under french law"),
+    ("cecill-c", 1, r"this software is governed by the cecill c licen[sc]e under french law"),
+    # permissive, others
+    ("zlib", 1, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 1, r"altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("zlib", 2, r"this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("zlib", 1, r"spdx license identifier zlib"),
+    ("bsl-1", 1, r"www boost org license 1 0(?: txt)?"),
+    ("bsl-1", 1, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl-1", 1, r"distributed under the boost software license version 1 0"),
+    ("bsl-1", 1, r"spdx license identifier bsl 1 0"),
     ("unlicense", 1, r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", 1, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", 2, r"unlicense org"),
     ("wtfpl", 1, r"do what the fuck you want to public license"),
-    ("zlib", 1, r"the origin of this software must not be misrepresented"),
-    ("bsl-1", 1, r"www boost org license 1 0"),
-    ("public-domain", 3, r"(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
+    ("wtfpl", 1, r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc0", 1, r"creativecommons org publicdomain zero 1 0"),
+    ("cc0", 1, r"to the extent possible under law .{0,80}? has waived all copyright and related or neighboring rights"),
+    ("cc0", 1, r"spdx license identifier cc0 1 0"),
+    ("cc-pdm", 1, r"creativecommons org publicdomain mark 1 0"),
+    ("cc", 4, r"some rights reserved|creative commons licen[sc]e"),
+    ("postgresql", 1, r"in no event shall the university of california be liable to any party for direct indirect special incidental"),
+    ("postgresql", 2, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("python-2", 1, r"psf is making python available to licensee on an as is basis"),
+    ("python-2", 1, r"this license agreement is between the python software foundation"),
+    ("php-3", 1, r"this source file is subject to version 3 0?1? ?of the php license"),
+    ("php-3", 2, r"this product includes php software freely available from"),
+    ("openssl", 1, r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", 1, r"this product includes cryptographic software written by eric young"),
+    ("ncsa", 1, r"permission is hereby granted free of charge .{0,160}?to deal with the software without restriction"),
+    ("json", 1, r"the software shall be used for good not evil"),
+    ("beerware", 1, r"if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("curl", 1, r"curl and libcurl are licensed under|copyright and permission notice copyright c .{0,40}?daniel stenberg"),
+    ("libtiff", 1, r"the names of sam leffler and silicon graphics may not be used in any advertising"),
+    ("ijg", 1, r"this software is based in part on the work of the independent jpeg group"),
+    ("libpng", 1, r"the png reference library is supplied as is"),
+    ("icu", 1, r"icu license icu 1 8 1 and later"),
+    ("unicode", 1, r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("w3c", 1, r"w3c software (?:and document )?notice and license"),
+    ("w3c", 2, r"pre existing intellectual property disclaimers notices or terms and conditions"),
+    ("ofl-1.1", 1, r"this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", 1, r"the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself"),
+    ("ofl-1.1", 2, r"scripts sil org ofl"),
+    ("bitstream-vera", 1, r"bitstream vera is a trademark of bitstream inc"),
+    ("zpl-2", 1, r"zope public license zpl version 2"),
+    ("upl-1", 1, r"the universal permissive license upl version 1 0"),
+    ("vim", 1, r"vim is charityware"),
+    ("ruby", 1, r"you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices"),
+    ("tcl", 1, r"this software is copyrighted by the regents of the university of california sun microsystems"),
+    ("blueoak-1", 1, r"blue oak model license"),
+    ("mulan-2", 1, r"mulan psl v2|mulan permissive software license version 2"),
+    ("ecl-2", 1, r"educational community license version 2 0"),
+    ("naist", 1, r"nara institute of science and technology"),
+    # data
+    ("odbl-1", 1, r"this .{0,60}?is made available under the open database license"),
+    ("odbl-1", 2, r"opendatacommons org licenses odbl"),
+    ("odc-by", 1, r"opendatacommons org licenses by"),
+    ("pddl-1", 1, r"opendatacommons org licenses pddl"),
+    ("ogl-3", 1, r"contains public sector information licensed under the open government licence v? ?3 0"),
+    ("ogl", 2, r"open government licen[sc]e"),
+    ("cdla-permissive", 1, r"community data license agreement permissive"),
+    ("cdla-sharing", 1, r"community data license agreement sharing"),
+    ("etalab-2", 1, r"licence ouverte(?: open licence)?(?: version 2 0)?"),
+    # models and source-available
+    ("openrail", 1, r"creativeml open rail ?m|bigscience (?:bloom )?rail|open rail licen[sc]e"),
+    ("sspl-1", 1, r"server side public license version 1"),
+    ("sspl-1", 2, r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2", 1, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("elastic-2", 1, r"spdx license identifier elastic 2 0"),
+    ("bsl-1.1", 1, r"business source license 1 1|the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("bsl-1.1", 2, r"change date .{0,40}?change license"),
+    ("commons-clause", 1, r"commons clause license condition|the license does not grant to you the right to sell the software"),
+    ("polyform-nc", 1, r"polyform noncommercial license"),
+    ("polyform-sb", 1, r"polyform small business license"),
+    ("prosperity", 2, r"prosperity public license"),
+    ("parity", 2, r"parity public license"),
+    ("fsl", 1, r"functional source license"),
+    # general notices
+    ("public-domain", 3, r"(?:released|placed|dedicated|donated|put) (?:in|into|to) the public domain"),
     ("public-domain", 4, r"(?:is|are) in the public domain"),
+    ("public-domain", 3, r"this work (?:was|is) (?:prepared|produced) by (?:an officer or employee|employees) of the united states government"),
     ("proprietary", 3, r"all rights reserved"),
-    ("proprietary", 3, r"(?:confidential and proprietary|proprietary and confidential|proprietary licen[sc]e)"),
+    ("proprietary", 3, r"confidential and proprietary|proprietary and confidential|proprietary licen[sc]e"),
+    ("proprietary", 2, r"unauthorized (?:copying|reproduction|distribution|use) of this (?:file|software|material|document|work)"),
+    ("proprietary", 2, r"no part of this (?:publication|book|document|work) may be reproduced"),
+    ("proprietary", 3, r"may not be (?:reproduced|copied|redistributed|published) without (?:the )?(?:prior )?(?:written|express) (?:written )?(?:permission|consent)"),
+    ("proprietary", 3, r"this (?:software|product) is licensed not sold"),
+    ("proprietary", 3, r"end user licen[sc]e agreement"),
+    ("non-commercial", 3, r"for (?:personal|private|educational|research|academic) (?:and )?non ?commercial use only"),
+    ("non-commercial", 3, r"non ?commercial use only|no commercial use"),
+    ("permissive-other", 4, r"permission is granted to (?:copy|use|distribute|reproduce)"),
+    ("permissive-other", 4, r"may be (?:freely|copied and) (?:distributed|redistributed|used|copied)"),
     ("copyleft-other", 5, r"copyleft licen[sc]e"),
+    ("dual", 4, r"dual licensed under|available under (?:either of )?two licenses|at your option either"),
+    ("reference", 5, r"see (?:the )?(?:license|licence|copying|copyright) (?:file|txt|md)(?: for (?:details|more|the full))?"),
+    ("reference", 5, r"license that can be found in the license file"),
 )
 
 
@@ -199,15 +414,12 @@ def rules() -> tuple[Rule, ...]:
         out.append(Rule(name, label, priority, needs(whole), re.compile(whole)))
 
     for label, names in FAMILIES:
-        for kind, priority, shape in SHAPES:
-            add(f"{label}:{kind}", label, priority, shape.replace("NAME", names))
+        add(f"{label}:notice", label, 4, NOTICE.replace("NAME", names))
     for label, terms in COMMONS:
-        for prefix in ("cc", "creative commons"):
-            for version in (r" [1-4] \d", ""):
-                add(f"{label}:{prefix}{':version' * bool(version)}", label, 2 + (not version), rf"{prefix} (?:{terms})(?: licen[sc]e)?(?: international| unported)?{version}(?: international| unported)?")
+        add(f"{label}:name", label, 2, rf"(?:cc|creative commons) (?:{terms})(?: licen[sc]e)?(?: international| unported)?(?: [1-4] \d)?(?: international| unported)?")
         add(f"{label}:url", label, 1, rf"creativecommons org licenses (?:{terms.split('|')[0]}) [1-4] \d")
-    for n, (label, priority, pattern) in enumerate(TEXTS):
-        add(f"{label}:text{n}", label, priority, pattern)
+    for n, (label, priority, pattern) in enumerate(SIGNATURES):
+        add(f"{label}:{n}", label, priority, pattern)
     return tuple(sorted(out, key=lambda r: r.priority))
 
 
