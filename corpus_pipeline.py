@@ -24,21 +24,36 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go from all but one; every document stays, n_chars follows its text."""
-    return line_dedup.with_kept_lines(docs, distinct_docs=True).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.with_kept_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a key of their own, so that a decision about a row is about no other one of its doc_id."""
+    key = common.unused("row_key", docs.columns)
+    return common.saved(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays; so do documents without words or doc_id."""
-    found = near_dup.near_duplicates(docs)
-    copies = found.where(F.col("class_id") < F.col("doc_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near copies one row stays, that of the smallest doc_id (null is the largest, equal ones are told apart by place).
+
+    Rows without words are in no class and stay.
+    """
+    keyed, key = _keyed(docs)
+    found = near_dup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    members = found.where("n_copies > 1 OR n_links > 0").select(F.col("doc_id").alias(key), "class_id")
+    members = common.saved(members.join(keyed.select(key, "doc_id"), key), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first")
+    keepers = members.groupBy("class_id").agg(first).select(F.col(f"first.{key}").alias(key))
+    copies = members.select(key).join(keepers, key, "left_anti")
+    return keyed.join(copies, key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule marks go; rows without a doc_id stay."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    marked = found.where("contaminated").select("doc_id")
-    return docs.join(marked, "doc_id", "left_anti").select(docs.columns)
+    """Rows that the contamination rule marks go."""
+    keyed, key = _keyed(docs)
+    found = decontamination.decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    marked = found.where("contaminated").select(F.col("doc_id").alias(key))
+    return keyed.join(marked, key, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +71,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's rows are written in the shared folder and read again, and what it wrote for itself goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(common.scratch_paths())
     for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        old = [p for p in common.scratch_paths() if p not in before]
+        docs = common.saved(made, name.replace(" ", "-"))
+        common.discard(spark, old)
     return STAGES[-1][1](spark, docs, sf_dir)
