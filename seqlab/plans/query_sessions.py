@@ -285,3 +285,35 @@ SELECT path, source_group, url IS NOT NULL AS found FROM m WHERE k = 1"""
 def treatment_path_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16 and S7 as the reference has them: the first source whose path ends in the target's name."""
     return treatments.groups_by_suffix(*_index_files(spark, sf_dir))
+
+
+@query(
+    f"""WITH {F_SQL}, c AS (SELECT uuid, CASE WHEN frame_seq < 3 THEN -5 ELSE CAST(length(label) AS INTEGER) END AS code, label FROM f)
+SELECT uuid, code, count(*) AS n FROM c WHERE code <> -5 AND uuid IN (SELECT o_custkey FROM orders) GROUP BY ALL"""
+)
+def usable_frame_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first three frames of a session are its warm-up, and sessions of users who ordered count."""
+    coded = frames(spark, sf_dir).withColumn("code", F.when(F.col("frame_seq") < 3, F.lit(features.SENTINEL)).otherwise(F.length("label")).cast("int"))
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uuid"))
+    return features.usable_frames(coded, sessions, label="code").groupBy("uuid", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {F_SQL} SELECT DISTINCT label, CASE WHEN label = 'signup' THEN 'click' ELSE label END AS new_label FROM f")
+def merged_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which label each one became."""
+    merged = usage.relabel(frames(spark, sf_dir), spark.createDataFrame(MERGES[:1], "old string, new string"))
+    return usage.label_map(merged, "label", "new_label")
+
+
+@query(
+    f"""WITH {F_SQL}, t AS (SELECT uuid, frame_seq, CASE WHEN frame_seq % 4 <> 3 THEN CAST(CAST(floor(ts_ms) AS BIGINT) AS VARCHAR) ELSE '' END AS ts, round(value * 100) AS cents FROM f)
+SELECT uuid, count(*) AS n, string_agg(ts, ',' ORDER BY frame_seq) AS timestamps, CAST(sum(cents) AS BIGINT) AS cents FROM t GROUP BY uuid"""
+)
+def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document per session, parsed again; a frame without a time stamp has an empty one."""
+    f = frames(spark, sf_dir)
+    ts = f.where("frame_seq % 4 <> 3").select("uuid", "frame_seq", F.floor("ts_ms").cast("long").alias("ts"))
+    documents = session_store.to_json(session_store.with_timestamps(f.select("uuid", "frame_seq", "value"), ts))
+    d = F.from_json("document", "data array<double>, timestamps array<string>")
+    cents = F.aggregate(F.transform(d["data"], lambda x: F.round(x * 100).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return documents.select("uuid", F.size(d["data"]).cast("long").alias("n"), F.array_join(d["timestamps"], ",").alias("timestamps"), cents.alias("cents"))

@@ -177,3 +177,21 @@ def version_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     v = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.format_string("v%d.%d", (F.col("r_regionkey") + 1).cast("int"), (F.col("n_nationkey") % 12).cast("int")).alias("version"), (F.col("n_nationkey") == 0).alias("is_original"))
     return registry.retention(v)
+
+
+@query(
+    f"""WITH {P_SQL}, g AS (SELECT experiment_name, syllable_id, CASE WHEN syllable_id % 7 <> 0 THEN size END AS size, price FROM p),
+f AS (SELECT *, 'dropna_first' AS mode FROM g WHERE size IS NOT NULL UNION ALL SELECT *, 'normalize_first' FROM g),
+s AS (SELECT mode, experiment_name, avg(size) AS a, stddev_samp(size) AS b, avg(price) AS c, stddev_samp(price) AS d FROM f GROUP BY ALL)
+SELECT mode, experiment_name, syllable_id, round((size - a) / b, 6) AS size, round((price - c) / d, 6) AS price FROM f JOIN s USING (mode, experiment_name) WHERE b > 0 AND d > 0 AND size IS NOT NULL"""
+)
+def preprocess_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both orders of V12: sizes of every seventh part are NaN, and a size or a price that does not vary is missing."""
+    rows = _features(spark, sf_dir).withColumn("size", F.when(F.col("syllable_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("size")))
+    both = [
+        normalize.drop_missing(normalize.preprocess(rows, ["size", "price"], method="zscore", order=mode), ["size", "price"]).select(
+            F.lit(mode).alias("mode"), "experiment_name", "syllable_id", F.round("size", 6).alias("size"), F.round("price", 6).alias("price")
+        )
+        for mode in ("dropna_first", "normalize_first")
+    ]
+    return both[0].unionByName(both[1])
