@@ -3,7 +3,7 @@
 * ``scratch`` / ``saved`` - written tables in the folder the cluster shares
   (``spark.checkpoint.dir``); they cut lineage, so that a lost executor costs
   one task and not the whole chain.
-* ``broadcast_if_small`` - a broadcast behind a row count; larger sides are
+* ``broadcast_if_small`` - a broadcast behind a count of rows and bytes; larger sides are
   joined by a shuffle.
 * ``sorted_runs`` - rows of equal key from sorted Arrow batches.
 * ``ascii_words`` - the word rule of all operators here: A-Z lower-cased, words
@@ -92,12 +92,13 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 1 << 28) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and about ``max_bytes`` bytes (as JSON), else as it is.
 
-    ``df`` should be a written or narrow table: it is counted (up to the bound).
+    ``df`` should be a written or narrow table: it is counted, and its rows are
+    measured if they are few enough.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
+    small = df.count() <= max_rows and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= max_bytes
     return (F.broadcast(df) if small else df), small
 
 

@@ -41,9 +41,10 @@ def _prefixes(docs: DataFrame, windows: DataFrame, max_rows: int) -> DataFrame:
     """Windows with their rarest word (over all documents) and its place in them."""
     vocabulary, small = broadcast_if_small(saved(windows.select(F.explode(F.split("window", " ")).alias("word")).select(F.lower("word").alias("key")).distinct(), "item-words"), max_rows)
     seen = docs.select(F.explode(_words(F.col("text"))).alias("word")).select(F.lower("word").alias("key"))
-    counts = seen.join(vocabulary, "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
-    if small:  # it has a row per item word at most
-        counts = F.broadcast(counts)
+    if small:  # the counts have a row per item word at most
+        counts = F.broadcast(seen.join(vocabulary, "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen")))
+    else:  # counted in part where the texts are, before words meet the vocabulary
+        counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).join(vocabulary, "key")
     placed = windows.select("window", "n", "item_ids", F.posexplode(F.split("window", " ")).alias("offset", "word")).withColumn("key", F.lower("word"))
     placed = placed.join(counts, "key", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     best = F.min_by(F.struct("key", "offset"), F.struct("seen", "key", "offset")).alias("best")
@@ -66,17 +67,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, perc
     hit-free results. Other columns are ignored.
 
     Plan: two passes over the texts. Item words (first pass) and prefixes
-    (second) are broadcast if they have at most ``max_broadcast_rows`` rows;
-    then nothing but hits and one row per document is shuffled. Beyond that,
-    words are joined by a shuffle and windows compared after a join back to the
-    documents. Hits meet per document, as distinct windows and places.
+    (second) are broadcast if they have at most ``max_broadcast_rows`` rows and
+    256 MB; then nothing but hits and one row per document is shuffled. Beyond
+    that, words are counted in part before they are shuffled, places of words are
+    joined by a shuffle and windows compared after a join back to the documents.
+    Hits meet per document, as distinct windows and places.
     """
     docs = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("text"))
     windows = saved(item_windows(items, size), "item-windows")
     found = _prefixes(docs, windows, max_broadcast_rows).select("window", "n", "item_ids", "key", "offset")
     ends = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("window"), F.lit(0).alias("n"), F.lit(None).cast("array<string>").alias("item_ids"), F.lit(END).alias("key"), F.lit(0).alias("offset"))
-    prefixes = saved(found.unionByName(ends), "prefixes")
-    prefixes, small = broadcast_if_small(prefixes, max_broadcast_rows)
+    prefixes, small = broadcast_if_small(saved(found, "prefixes"), max_broadcast_rows)
 
     split = docs.select("doc_id", "row_key", _words(F.col("text")).alias("w"))
     at = F.posexplode(F.array_append("w", F.lit(END))).alias("at", "word")
@@ -84,15 +85,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, perc
     fits = (start >= 0) & (start + F.col("n") <= F.size("w"))
     # built-in functions with generated code only: then the words' array is a variable of the loop over words, and not copied for each
     same = F.translate(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), " "), _UPPER, _LOWER) == F.col("window")
-    is_end = F.col("window").isNull()
+    is_end, span = F.col("window").isNull(), F.struct(start.alias("a"), (start + F.col("n")).alias("b"))
     if small:
-        hits = split.select("doc_id", "row_key", "w", at).withColumn("key", F.lower("word")).join(prefixes, "key")
+        hits = split.select("doc_id", "row_key", "w", at).withColumn("key", F.lower("word")).join(F.broadcast(prefixes.unionByName(ends)), "key")
         hits = hits.where(is_end | F.when(fits, same))
+        hits = hits.select("doc_id", "row_key", F.when(is_end, F.col("at")).alias("words"), F.when(~is_end, span).alias("span"), "item_ids")
     else:
-        placed = split.select("doc_id", "row_key", at).withColumn("key", F.lower("word")).join(prefixes, "key").where(is_end | (start >= 0))
+        placed = split.select("doc_id", "row_key", F.posexplode("w").alias("at", "word")).withColumn("key", F.lower("word")).join(prefixes, "key").where(start >= 0)
         whole = split.select(F.col("doc_id").alias("id"), F.col("row_key").alias("rk"), "w").dropDuplicates(["id", "rk"])
-        hits = placed.join(whole, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("rk") == F.col("row_key"))).where(is_end | F.when(fits, same))
-    hits = hits.select("doc_id", "row_key", F.when(is_end, F.col("at")).alias("words"), F.when(~is_end, F.struct(start.alias("a"), (start + F.col("n")).alias("b"))).alias("span"), "item_ids")
+        hits = placed.join(whole, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("rk") == F.col("row_key"))).where(F.when(fits, same))
+        hits = hits.select("doc_id", "row_key", F.lit(None).cast("int").alias("words"), span.alias("span"), "item_ids")
+        # the numbers of words need no join: no key has a row for every document
+        hits = hits.unionByName(split.select("doc_id", "row_key", F.size("w").alias("words")), allowMissingColumns=True)
 
     gathered = hits.groupBy("doc_id", "row_key").agg(F.max("words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item_ids").alias("sets"))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 from tokenizers import Tokenizer  # noqa: E402
+from tokenizers.models import BPE  # noqa: E402
+from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 
 #: White space other than the space and the newline, as Python sees it.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -39,8 +41,13 @@ def default_path() -> str:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, without truncation and padding."""
+    """The tokenizer of a file, without truncation and padding; one whose texts may not be cut at spaces is refused."""
     t = Tokenizer.from_file(path)
+    pre = t.pre_tokenizer
+    plain = t.normalizer is None and isinstance(t.model, BPE) and t.model.dropout is None and isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space
+    loose = [a.content for a in t.get_added_tokens_decoder().values() if a.lstrip or a.rstrip or a.single_word or any(c.isspace() for c in a.content)]
+    if not plain or loose:
+        raise ValueError(f"{path}: only byte-level BPE without normalizer, prefix space and dropout, whose added tokens hold no white space, can be encoded piece by piece")
     t.no_truncation()
     t.no_padding()
     return t

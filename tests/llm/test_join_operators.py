@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.llm import decontamination, near_dup, topk, warc
+from seqlab.llm import common, decontamination, near_dup, topk, warc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -66,6 +66,25 @@ def test_decontamination_edges(spark):
     assert decontamination.decontaminate(d.where("false"), items).count() == 0
 
 
+def test_beyond_the_bound_no_key_has_a_row_for_every_document(spark, monkeypatch):
+    """Without a broadcast no end of a document goes to one task, and words are counted before they are shuffled."""
+    d = spark.createDataFrame([(i, "x y z") for i in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "y")], "item_id long, text string")
+    written = []
+    monkeypatch.setattr(decontamination, "saved", lambda df, tag: written.append((tag, df)) or common.saved(df, tag))
+    rows = decontamination.decontaminate(d, items, max_broadcast_rows=0).collect()
+    assert len(rows) == 50 and all((r["n_words"], r["n_hit"]) == (3, 1) for r in rows)
+    prefixes = dict(written)["prefixes"]
+    assert [(r["window"], r["key"]) for r in prefixes.collect()] == [("y", "y")]
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(20)], "a long, b string")
+    assert common.broadcast_if_small(df, 20)[1] and not common.broadcast_if_small(df, 19)[1]
+    assert not common.broadcast_if_small(df, 20, max_bytes=20_000)[1]
+    assert common.broadcast_if_small(df.where("false"), 0)[1]
+
+
 def test_decontamination_runs_no_python(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import re
 import zlib
 
@@ -46,6 +47,18 @@ def test_pieces_encode_as_whole_texts(texts):
         assert np.frombuffer(ids, "<u4").tolist() == expected_ids(text)
 
 
+def test_only_tokenizers_that_may_be_cut_at_spaces_are_taken(tmp_path):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte-level"):
+        tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    spec = json.loads(tokenizer(default_path()).to_str())
+    for name, change in {"prefix": {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}, "strip": {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}}.items():
+        (tmp_path / name).write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            tokenizer(str(tmp_path / name))
+
+
 def test_bpe_matches_the_library(spark):
     docs = documents(spark)
     for size in (1 << 22, 50):
