@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.operators import normalize, resample, similarity, usage
 from seqlab.plans.register import query, table
+from seqlab.sources import tables
 
 FRAME, RESAMPLE = ["frame"], ["resample", "tie", "place"]
 
@@ -142,6 +143,30 @@ def merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
+@query(f"WITH {J_SQL} SELECT i AS label, n, round(n / n_union, 6) AS jaccard, row_number() OVER (ORDER BY n / n_union DESC, i) AS rank FROM jc WHERE i = j")
+def agreement_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagonal of the label matrix, best first; the window is over a row per label."""
+    own = similarity.label_jaccard(resamples(spark, sf_dir)).where("i = j")
+    rank = F.row_number().over(Window.orderBy(F.desc("jaccard"), "i"))
+    return own.select(F.col("i").alias("label"), "n", F.round("jaccard", 6).alias("jaccard"), rank.cast("long").alias("rank"))
+
+
+@query(f"WITH {J_SQL} SELECT i, " + ", ".join(f'round(coalesce(max(n / n_union) FILTER (j = {k}), 0), 6) AS "{k}"' for k in range(10)) + " FROM jc GROUP BY i")
+def jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label matrix with a column per label; pairs that are never seen are 0."""
+    jaccard = similarity.label_jaccard(resamples(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
+    return tables.dense_matrix(jaccard, list(range(10)), value="jaccard")
+
+
+@query(f"WITH {J_SQL}, {C_SQL} SELECT i, j, round(similarity, 6) AS correlation, round(n / n_union, 6) AS confusion_rate FROM jc JOIN cs USING (i, j) WHERE i < j AND 20 * n > n_union AND similarity > 0")
+def accepted_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of labels above both thresholds: confusion of the resamples, and likeness of their mean vectors."""
+    pairs = similarity.similar_pairs(similarity.label_jaccard(resamples(spark, sf_dir)), 0.0).select("i", "j", F.col("jaccard").alias("confusion_rate"))
+    alike = similarity.label_cosine(table(spark, sf_dir, "embeddings"), "label", "embedding", 10).withColumnRenamed("similarity", "correlation")
+    found = similarity.accept_candidates(pairs.join(alike, ["i", "j"]), kinematic=0.0, confusion=0.05)
+    return found.select("i", "j", F.round("correlation", 6).alias("correlation"), F.round("confusion_rate", 6).alias("confusion_rate"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a in _COLUMNS for b in _COLUMNS))
 def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.correlations(table(spark, sf_dir, "lineitem"), _COLUMNS).withColumn("correlation", F.round("correlation", 6))

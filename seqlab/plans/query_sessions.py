@@ -67,6 +67,13 @@ def label_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "n", F.round("usage", 6).alias("usage"))
 
 
+@query(f"WITH {O_SQL} SELECT label, label || ': ' || CAST(count(*) AS VARCHAR) || '.000' AS line FROM r WHERE onset GROUP BY label")
+def label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of the usage report for each label: its onsets, with three decimals."""
+    out = usage.label_usage(sequence.mark_onsets(frames(spark, sf_dir)))
+    return out.select("label", X.key_value_line(F.col("label"), F.col("n")).alias("line"))
+
+
 @query(f"WITH {D_SQL} SELECT r.uuid, r.frame_seq, dur.fwd AS run_frames FROM r JOIN dur USING (uuid, run_id)")
 def run_duration_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.run_durations(sequence.mark_onsets(frames(spark, sf_dir))).select("uuid", "frame_seq", "run_frames")

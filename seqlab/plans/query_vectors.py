@@ -114,6 +114,27 @@ def dynamic_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(features.spectral_radius(m), 6).alias("spectral_radius"), F.round(features.dynamic_complexity(m), 6).alias("dynamic_complexity"))
 
 
+#: Deviations from the mean vector, as rows.
+V_SQL = """l AS (SELECT vec_id AS id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM l)"""
+
+
+@query(f"WITH {V_SQL} SELECT id, round(sqrt(sum(x * x)), 5) AS norm FROM c GROUP BY id")
+def pca_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all components the scores keep the length of a vector's deviation from the mean, whatever their signs."""
+    out, _, _ = cluster.pca(points(spark, sf_dir), 64)
+    return out.select("id", F.round(F.sqrt(F.aggregate("pcs", F.lit(0.0), lambda t, x: t + x * x)), 5).alias("norm"))
+
+
+@query(
+    f"""WITH {V_SQL}, co AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS s FROM c a JOIN c b USING (id) GROUP BY ALL)
+SELECT 64::BIGINT AS n, round(1, 6)::DOUBLE AS total, round(sum(s * s) / pow(sum(s) FILTER (i = j), 2), 6) AS squares FROM co"""
+)
+def explained_variance_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of all components sum to 1; their squares to those of the covariances over the squared total variance."""
+    _, _, variance = cluster.pca(points(spark, sf_dir), 64)
+    return variance.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("cumulative"), 6).alias("total"), F.round(F.sum(F.col("ratio") * F.col("ratio")), 6).alias("squares"))
+
+
 @query(None)
 def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _, _ = cluster.pca(points(spark, sf_dir), 10)
