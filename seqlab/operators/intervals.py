@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,11 @@ def kept_ranges(intervals: DataFrame, *, key: str = "uuid") -> DataFrame:
     return ranges.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1)
 
 
+def split_name(key: str, idx: str) -> Column:
+    """A recording's name with -split-NN."""
+    return F.concat(F.col(key).cast("string"), F.format_string("-split-%02d", F.col(idx).cast("int")))
+
+
 def split_by_ranges(frames: DataFrame, ranges: DataFrame, *, key: str = "uuid", position: str = "frame_seq") -> DataFrame:
     """Frames of each range (J10, IO12): split_id is the recording's name with -split-NN, position starts at 0 again.
 
@@ -60,5 +65,4 @@ def split_by_ranges(frames: DataFrame, ranges: DataFrame, *, key: str = "uuid",
     """
     r = ranges.select(F.col(key).alias("_key"), "start", "stop", "idx")
     met = frames.join(r, (frames[key] == r["_key"]) & (frames[position] >= r["start"]) & (frames[position] < r["stop"]))
-    name = F.concat(F.col(key).cast("string"), F.format_string("-split-%02d", F.col("idx").cast("int")))
-    return met.withColumn("split_id", name).withColumn("split_seq", F.col(position) - F.col("start")).drop("_key", "start", "stop", "idx")
+    return met.withColumn("split_id", split_name(key, "idx")).withColumn("split_seq", F.col(position) - F.col("start")).drop("_key", "start", "stop", "idx")

@@ -82,6 +82,14 @@ def check_same_sessions(a: DataFrame, b: DataFrame, session: str = "uuid") -> No
         raise ValueError("the two tables hold different sessions")
 
 
+def check_same_frames(a: DataFrame, b: DataFrame, session: str = "uuid") -> None:
+    """Raises unless each session of ``a`` has as many rows in ``b`` (F17); sessions that only ``b`` has don't count."""
+    n, m = a.groupBy(session).agg(F.count(F.lit(1)).alias("_n")), b.groupBy(session).agg(F.count(F.lit(1)).alias("_m"))
+    off = n.join(m, session, "left").where(~F.col("_n").eqNullSafe(F.col("_m"))).first()
+    if off is not None:
+        raise ValueError(f"session {off[session]} has {off['_n']} frames and {off['_m'] or 0} scores")
+
+
 def label_jaccard(pairs: DataFrame, *, a: str = "label", b: str = "flipped", labels: DataFrame | None = None) -> DataFrame:
     """Jaccard similarity of label i of a and j of b: n_ij / (n_i + n_j - n_ij) (V5), of observed pairs.
 

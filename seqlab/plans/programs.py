@@ -18,6 +18,9 @@ from seqlab.plans.registry import Library
 
 log = logging.getLogger(__name__)
 
+#: Frames at the start of a session that have no scores.
+UNSCORED = 3
+
 KINEMATICS = {"height_ave_mm": "height_mm", "width_mm": "width_mm", "length_mm": "length_mm", "velocity_3d_mm": "speed_3d_mm_s"}
 
 
@@ -34,9 +37,15 @@ def redundant_labels(resamples: DataFrame, scores: DataFrame, *, entropy_thresho
     """The merge map (old, new, similarity) of labels that resamples confuse and whose mean scores are alike.
 
     ``resamples``: uuid, frame_seq, resample, label; ``scores``: uuid, frame_seq, pc.
+    Raises ValueError without resamples, or if a session's usable frames and
+    scores differ in number.
     """
+    if "resample" not in resamples.columns:
+        raise ValueError("the labels hold no resamples")
     frame = list(frame)
     valid = resample.valid_frames(resamples, frame=frame)
+    scored = F.col(frame[-1]) >= UNSCORED
+    similarity.check_same_frames(valid.where(scored).select(*frame).distinct(), scores.where(scored), frame[0])
     entropies = resample.transition_entropy(valid, frame=frame, resample=["resample"])
     stable = resample.stable_frames(entropies, session=frame[:-1], order=frame[-1:], threshold=transition_threshold)
     top = resample.top_labels(valid.join(stable.select(*frame), frame, "left_semi"), k=k, frame=frame)
@@ -111,9 +120,12 @@ def syllable_features(frames: DataFrame, scores: DataFrame, ar: DataFrame, *, fp
     """One row per label: kinematics, durations, frequency, components, dynamics.
 
     The default duration is the customary one, which gives a run the length of
-    the run before; ``forward`` is its own length.
+    the run before; ``forward`` is its own length. Raises ValueError if a
+    session's usable frames and scores differ in number.
     """
     usable = features.usable_frames(frames, scores)
+    scored = F.col("frame_seq") >= UNSCORED
+    similarity.check_same_frames(usable.where(scored), scores.where(scored))
     z = similarity.to_long(scores, ["uuid", "frame_seq"], "pc", 10)
     stats = z.groupBy("dim").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = z.join(F.broadcast(stats), "dim").groupBy("uuid", "frame_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", F.try_divide(F.col("value") - F.col("m"), F.col("s")).alias("x")))), lambda s: s["x"]).alias("pc"))

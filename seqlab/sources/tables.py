@@ -79,6 +79,34 @@ def dense_matrix(long: DataFrame, labels: list, *, i: str = "i", j: str = "j", v
     return long.groupBy(i).pivot(j, labels).agg(F.first(value)).na.fill(0.0).orderBy(i)
 
 
+def write_matrix(dense: DataFrame, path: str, columns: list[str]) -> None:
+    """Text lines of the columns' numbers in scientific form with a space between, in the order of rows (IO21)."""
+    line = F.concat_ws(" ", *(F.format_string("%.18e", F.col(f"`{c}`").cast("double")) for c in columns))
+    dense.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_report(rows: DataFrame, path: str, *, label: str, value: str, title: str | None = None) -> None:
+    """A text file of the title and a line ``label: value`` with four decimals for each row, in order of label (IO21)."""
+    line = F.format_string("%s: %.4f", F.col(label).cast("string"), F.col(value).cast("double"))
+    lines = rows.select(F.lit(1).alias("_part"), F.col(label).alias("_label"), line.alias("value"))
+    if title is not None:
+        lines = lines.unionByName(rows.sparkSession.createDataFrame([(0, title)], "_part int, value string"), allowMissingColumns=True)
+    lines.coalesce(1).sortWithinPartitions("_part", "_label").select("value").write.mode("overwrite").text(path)
+
+
+def read_experiments(spark: SparkSession, path: str, *, features: str = "syllable_features_path") -> dict[str, DataFrame]:
+    """The feature tables that a comparison file names (experiment_name and a path), by experiment.
+
+    Raises ValueError if an experiment's name is repeated, as labels of both
+    would be taken for one.
+    """
+    found = read_csv(spark, path).select(F.col("experiment_name").cast("string").alias("name"), F.col(features).alias("path")).collect()
+    names = [r["name"] for r in found]
+    if len(set(names)) != len(names):
+        raise ValueError(f"experiment names must be unique: {sorted(str(n) for n in set(names) if names.count(n) > 1)}")
+    return {r["name"]: drop_unnamed(read_csv(spark, r["path"])) for r in found}
+
+
 def scan_folder(spark: SparkSession, pattern: str) -> DataFrame:
     """Files that a glob matches, with path and size, sorted by path (IO18)."""
     return spark.read.format("binaryFile").load(pattern).select("path", "length", "modificationTime").orderBy("path")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,6 +391,67 @@ def test_session_store(spark):
     assert not session_store.empty_mask(f).first()["empty"] and session_store.empty_mask(f, height=50).first()["empty"]
 
 
+def test_sessions_are_split_with_all_their_tables(spark):
+    frames = spark.createDataFrame([(u, i, i * 10) for u in ("a", "b") for i in range(6)], "uuid string, frame_seq long, v int")
+    meta = spark.createDataFrame([("a", "x"), ("b", "y")], "uuid string, subject string")
+    ranges = spark.createDataFrame([("a", 0, 2, 0), ("a", 4, 6, 1)], "uuid string, start long, stop long, idx int")
+    out = session_store.split_sessions({"frames": frames, "meta": meta}, ranges)
+    assert sorted(tuple(r) for r in out["frames"].collect()) == [("a-split-00", 0, 0), ("a-split-00", 1, 10), ("a-split-01", 0, 40), ("a-split-01", 1, 50)]
+    assert sorted(tuple(r) for r in out["meta"].collect()) == [("a-split-00", "x"), ("a-split-01", "x")]
+
+
+def test_flipped_frames_are_not_written_twice(spark, tmp_path):
+    one = spark.createDataFrame([("u", 0, 2, 1, [1, 2])], "uuid string, frame_seq long, h int, w int, px array<int>")
+    session_store.write_flipped(one, f"{tmp_path}/flipped")
+    session_store.write_flipped(one.limit(0), f"{tmp_path}/flipped")
+    assert [r["px"] for r in spark.read.parquet(f"{tmp_path}/flipped").collect()] == [[2, 1]]
+
+
+def test_datasets_are_listed_without_a_name(spark):
+    s = spark.createDataFrame([("u", "scalars/h", i, float(i)) for i in range(3)] + [("u", "other", 0, 1.0)], "uuid string, name string, frame_seq long, value double")
+    assert {r["name"]: r["n_values"] for r in session_store.extract(s).collect()} == {"scalars/h": 3, "other": 1}
+
+
+def test_rows_of_open_files():
+    """Arrays stand for the datasets of an open file, dicts for its groups."""
+    px = np.arange(3 * 2 * 2).reshape(3, 2, 2)
+    f = {"uuid": np.array(b"u"), "frames": px, "timestamps": np.arange(2.0), "scalars": {"h": np.array([1, 2, 3])}}
+    scalars = pd.concat(session_store.scalar_rows(f, "p"))
+    assert scalars["value"].tolist() == [1.0, 2.0, 3.0] and scalars["ts"].isna().tolist() == [False, False, True] and set(scalars["uuid"]) == {"u"}
+    frames = pd.concat(session_store.frame_rows(f, "p", rows=2))
+    assert frames["frame_seq"].tolist() == [0, 1, 2] and [x.tolist() for x in frames["px"]] == px.reshape(3, 4).tolist()
+    scores = np.arange(6 * 12.0).reshape(6, 12)
+    found = pd.concat(session_store.score_rows({"scores": {"u": scores, "short": scores[:3]}}, "p", rows=2))
+    assert found["frame_seq"].tolist() == [3, 4, 5] and np.array_equal(np.stack(found["pc"]), scores[3:, :10])
+    tree = pd.concat(session_store.tree_rows(f, "p"))
+    assert dict(zip(tree["name"], tree["shape"])) == {"uuid": [], "frames": [3, 2, 2], "timestamps": [2], "scalars/h": [3]}
+
+
+def test_reports_and_experiments(spark, tmp_path):
+    rows = spark.createDataFrame([(10, 0.25), (2, 1 / 3)], "label int, jaccard double")
+    tables.write_report(rows, f"{tmp_path}/report", label="label", value="jaccard", title="Similarity:")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/report").collect()] == ["Similarity:", "2: 0.3333", "10: 0.2500"]
+    dense = tables.dense_matrix(spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.1)], "i int, j int, value double"), [0, 1])
+    tables.write_matrix(dense, f"{tmp_path}/matrix", ["0", "1"])
+    assert sorted([float(x) for x in r[0].split(" ")] for r in spark.read.text(f"{tmp_path}/matrix").collect()) == [[0.0, 0.5], [0.1, 0.0]]
+    tables.write_csv(rows, f"{tmp_path}/features")
+    for name, lines in (("good", ["a", "b"]), ("bad", ["a", "a"])):
+        (tmp_path / f"{name}.csv").write_text("experiment_name,syllable_features_path\n" + "".join(f"{x},{tmp_path}/features\n" for x in lines))
+    found = tables.read_experiments(spark, f"{tmp_path}/good.csv")
+    assert sorted(found) == ["a", "b"] and found["a"].columns == ["label", "jaccard"]
+    with pytest.raises(ValueError):
+        tables.read_experiments(spark, f"{tmp_path}/bad.csv")
+
+
+def test_sessions_need_as_many_frames(spark):
+    a = spark.createDataFrame([("u", i) for i in range(3)], "uuid string, frame_seq long")
+    b = a.unionByName(spark.createDataFrame([("other", 0)], "uuid string, frame_seq long"))
+    similarity.check_same_frames(a, b)
+    for less in (a.where("frame_seq > 0"), a.limit(0)):
+        with pytest.raises(ValueError):
+            similarity.check_same_frames(a, less)
+
+
 def test_tables_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1, "a"), (1, 2, "b")], "`Unnamed: 0` int, `labels (original)` int, uuid string")
     tables.write_csv(rows, f"{tmp_path}/csv")
