@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import bpe, decontamination, licenses, line_dedup, near_dup, token_counts, token_files, topk, toxicity, warc
+from seqlab.llm import bpe, centroids, decontamination, licenses, line_dedup, near_dup, simhash, spelling, token_counts, token_files, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,14 +60,67 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_decontamination, op3_exact_topk, op4_toxicity, op5_ngram_jaccard_join, op6_token_files, op7_warc, op8_license_scan, op9_line_dedup, op10_bpe)
+    for f in (
+        op1_token_counts, op2_decontamination, op3_exact_topk, op4_toxicity, op5_ngram_jaccard_join, op6_token_files, op7_warc, op8_license_scan, op9_line_dedup, op10_bpe,
+        op11_spelling_variants, op12_centroid_clustering, op13_simhash,
+    )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+def _lloyd_sql(rounds: int = 10) -> str:
+    """The rounds of op12, one after the other."""
+    near = """
+a{i} AS MATERIALIZED (SELECT v, arg_min(cluster, o) AS cluster, CAST(min(o[1]) AS BIGINT) AS distance FROM (
+  SELECT v.v, c.cluster, [list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y), c.cluster] AS o FROM v, c{i} c) GROUP BY v),"""
+    mean = """
+m{i} AS (SELECT cluster, list(x ORDER BY dim) AS y FROM (
+  SELECT cluster, dim, CAST(floor(CAST(sum(CAST(x[dim] AS HUGEINT)) AS DOUBLE) / count(*)) AS DOUBLE) AS x FROM a{p} JOIN v USING (v), range(1, 65) AS r(dim) GROUP BY ALL) GROUP BY cluster),
+c{i} AS MATERIALIZED (SELECT c.cluster, coalesce(m.y, c.y) AS y FROM c{p} c LEFT JOIN m{i} m USING (cluster)),"""
+    steps = near.format(i=0) + "".join(mean.format(i=i, p=i - 1) + near.format(i=i) for i in range(1, rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS v, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id, x) - 1 AS cluster, x AS y
+           FROM (SELECT *, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v) ORDER BY h, vec_id, x LIMIT 8),{steps}
+s AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY cluster),
+h AS (SELECT cluster, sha256(array_to_string(list_transform(y, lambda t: CAST(CAST(t AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, cluster_inertia, (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM s) AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (v) JOIN s USING (cluster) JOIN h USING (cluster)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS w FROM documents) GROUP BY ALL),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+           lambda c, b: xor(c >> 8, t.crc[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM runs, t),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gone AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM gone a JOIN gone b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON a.d = b.word),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, near) = 1),
+told AS MATERIALIZED (SELECT w.word, CASE WHEN m >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS stop, form AS onward FROM told UNION ALL SELECT walk.word, told.word, told.form FROM walk JOIN told ON told.word = walk.onward)
+SELECT word, form, stop AS root, n, n_near, form_n FROM told JOIN (SELECT word, stop FROM walk WHERE onward IS NULL) USING (word)
+""",
+    "op12_centroid_clustering": _lloyd_sql(),
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
