@@ -3,9 +3,16 @@
 A text is normalised to its words (A-Z lower-cased, one space between, one at
 each end). Rules are hand-written regexes over that form, in order of priority;
 each is gated by words that its regex requires, looked for as plain substrings
-before it runs. A detection whose interval lies within that of another is suppressed (of
-equal intervals, priority decides); of those that still overlap in part, the
-one with the better priority stays.
+before it runs. Names that a conjunction adds to a detection ("... MIT or
+Apache 2.0", terms of SPDX expressions) are detections too.
+
+Suppression goes in rounds, and only what stays suppresses: of the detections
+that touch none that stays, those that lie within no other one (of equal
+intervals the better priority, then the earlier rule) are taken by priority,
+then by start, each unless it overlaps one taken before. So whatever is
+suppressed overlaps a detection that stays. Labels of REMARKS name no license
+(general notices, mentions of two licenses, of a file); they and the licenses
+do not suppress each other.
 
 Base rules are phrases that are always reported, each with all its places.
 """
@@ -95,9 +102,32 @@ FAMILIES = (
     ("cecill-2", r"cecill(?: free software license)?(?: version| v)? ?2(?: [01])?|cecill"),
     ("elastic-2", r"elastic(?: license)?(?: version)? 2(?: 0)?"),
     ("sspl-1", r"server side public|sspl(?: 1)?"),
-    ("bsl-1.1", r"business source(?: license)?(?: 1 1)?|busl 1 1"),
+    ("bsl-1.1", r"business source(?: license)?(?: 1 1)?|busl 1 1|bsl 1 1"),
+)
+
+#: Names whose version follows the word license: (name, ((label, version), ...)).
+VERSIONS = (
+    (r"apache(?: software)?", (("apache-1.1", r"1 1"), ("apache-2", r"2(?: 0)?"))),
+    (r"(?:gnu )?general public|gnu gpl|gpl", (("gpl-1", r"1(?: 0)?"), ("gpl-2", r"2(?: 0)?"), ("gpl-3", r"3(?: 0)?"))),
+    (r"(?:gnu )?(?:lesser|library) general public|(?:gnu )?lgpl", (("lgpl-2", r"2(?: 0)?"), ("lgpl-2.1", r"2 1"), ("lgpl-3", r"3(?: 0)?"))),
+    (r"(?:gnu )?affero general public|(?:gnu )?agpl", (("agpl-3", r"3(?: 0)?"),)),
+    (r"(?:gnu )?free documentation", (("gfdl-1.2", r"1 2"), ("gfdl-1.3", r"1 3"))),
+    (r"mozilla public", (("mpl-1.1", r"1 1"), ("mpl-2", r"2(?: 0)?"))),
+    (r"eclipse public", (("epl-1", r"1(?: 0)?"), ("epl-2", r"2(?: 0)?"))),
+    (r"european union public", (("eupl-1.1", r"1 1"), ("eupl-1.2", r"1 2"))),
+    (r"artistic", (("artistic-1", r"1(?: 0)?"), ("artistic-2", r"2(?: 0)?"))),
+    (r"boost software", (("bsl-1", r"1(?: 0)?"),)),
+    (r"business source", (("bsl-1.1", r"1 1"),)),
+    (r"zope public", (("zpl-2", r"2(?: [01])?"),)),
+    (r"elastic", (("elastic-2", r"2(?: 0)?"),)),
 )
 
+#: Labels that name no license.
+REMARKS = frozenset(("dual", "reference", "copyleft-other", "permissive-other", "proprietary", "non-commercial"))
+
+#: What joins a further name to a detection.
+CONJUNCTION = re.compile(rb" (?:and or|and|or|with)(?: alternatively)?(?: also)?(?: under)?(?: the)?(?: terms of the)?(?= )")
+
 #: Creative Commons terms: (label, words after "cc" or "creative commons").
 COMMONS = (
     ("cc-by-nc-nd", r"by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"),
@@ -114,6 +144,7 @@ NOTICE = (
     r"|(?:under|subject to|according to|pursuant to|permitted by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME) licen[sc]e"
     r"|licen[sc]es? (?:type |is |id |name )?(?:the )?(?:NAME)(?: licen[sc]e)?"
     r"|(?:the )?(?:NAME) licen[sc]e(?: version \d(?: \d)?)?"
+    r"|spdx license identifier (?:NAME)(?: only| or later)?"
 )
 
 #: Hand-written signatures: (label, priority, pattern), the grants, conditions, disclaimers, headers and identifiers of licenses and of general notices.
@@ -366,6 +397,10 @@ class Rule:
     needs: tuple[tuple[bytes, ...], ...]
     pattern: re.Pattern
 
+    @property
+    def remark(self) -> bool:
+        return self.label in REMARKS
+
 
 def needs(pattern: bytes) -> tuple[tuple[bytes, ...], ...]:
     """What every match of a regex requires: of each tuple, one literal at least is in the text (or beside the match, where an assertion says so)."""
@@ -415,6 +450,9 @@ def rules() -> tuple[Rule, ...]:
 
     for label, names in FAMILIES:
         add(f"{label}:notice", label, 4, NOTICE.replace("NAME", names))
+    for name, versions in VERSIONS:
+        for label, version in versions:
+            add(f"{label}:version", label, 3, rf"(?:the )?(?:{name}) licen[sc]e(?: version| v)? ?{version}")
     for label, terms in COMMONS:
         add(f"{label}:name", label, 2, rf"(?:cc|creative commons) (?:{terms})(?: licen[sc]e)?(?: international| unported)?(?: [1-4] \d)?(?: international| unported)?")
         add(f"{label}:url", label, 1, rf"creativecommons org licenses (?:{terms.split('|')[0]}) [1-4] \d")
@@ -423,6 +461,18 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: r.priority))
 
 
+@lru_cache(maxsize=1)
+def conjuncts() -> tuple[Rule, ...]:
+    """Names alone, as they follow a conjunction; they are tried there only, so they have no gate."""
+    out = []
+    for label, names in FAMILIES:
+        out.append(Rule(f"{label}:conjunct", label, 4, (), re.compile(rb"(?<= )(?:" + names.encode() + rb")(?: licen[sc]e)?(?: only| or later)?(?= )")))
+    for name, versions in VERSIONS:
+        for label, version in versions:
+            out.append(Rule(f"{label}:conjunct-version", label, 4, (), re.compile(rf"(?<= )(?:{name}) licen[sc]e(?: version| v)? ?{version}(?: only| or later)?(?= )".encode())))
+    return tuple(out)
+
+
 @lru_cache(maxsize=1)
 def gates() -> dict[tuple[bytes, ...], list[tuple[int, Rule]]]:
     """(order, rule) by the most common need that those of the rule imply; a text that meets none of these matches no rule."""
@@ -448,26 +498,61 @@ def _met(norm: bytes) -> Iterator[tuple[int, Rule]]:
             yield from (x for x in gated if all(map(holds, x[1].needs)))
 
 
-def detections(norm: bytes, *, gated: bool = True) -> list[tuple[int, int, str, str]]:
-    """(start, end, label, rule) of what stays after suppression, by start; ``norm`` is a normalised text.
-
-    The gate skips rules that cannot match, and changes nothing else.
-    """
+def matches(norm: bytes, *, gated: bool = True) -> list[tuple[int, int, int, int, Rule]]:
+    """(start, end, priority, order, rule) of all that rules match, and of names that conjunctions add to licenses, before suppression."""
     tried = _met(norm) if gated else enumerate(rules())
     found = [(m.start(), m.end(), rule.priority, order, rule) for order, rule in tried for m in rule.pattern.finditer(norm)]
-    widest, longest = [], -1
+    ends = [x[1] for x in found if not x[4].remark]
+    seen = set()
+    while ends:
+        end = ends.pop()
+        joined = CONJUNCTION.match(norm, end) if end not in seen else None
+        seen.add(end)
+        if joined:
+            at = joined.end() + 1
+            for order, rule in enumerate(conjuncts(), len(rules())):
+                if m := rule.pattern.match(norm, at):
+                    found.append((at, m.end(), rule.priority, order, rule))
+                    ends.append(m.end())
+    return found
+
+
+def _widest(found: list) -> list:
+    """Those that lie within no other; of equal intervals the first by priority and order."""
+    out, longest = [], -1
     for x in sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3])):
-        if x[1] > longest:  # else it lies within an earlier one, or equals one that comes first
-            widest.append(x)
+        if x[1] > longest:
+            out.append(x)
             longest = x[1]
-    kept: list[tuple[int, int, str, str]] = []
-    for a, b, _, _, rule in sorted(widest, key=lambda x: (x[2], x[0])):
-        at = bisect_left(kept, (a,))
-        if not (at and kept[at - 1][1] > a) and not (at < len(kept) and kept[at][0] < b):
-            insort(kept, (a, b, rule.label, rule.name))
+    return out
+
+
+def suppressed(found: list) -> list:
+    """What stays of matches, by start: see the rule above."""
+    kept: list = []  # by start; they do not overlap
+
+    def free(x) -> bool:
+        at = bisect_left(kept, x[0], key=lambda k: k[0])
+        return not (at and kept[at - 1][1] > x[0]) and not (at < len(kept) and kept[at][0] < x[1])
+
+    while found:
+        for x in sorted(_widest(found), key=lambda x: (x[2], x[0])):
+            if free(x):
+                insort(kept, x, key=lambda k: k[:4])
+        found = [x for x in found if free(x)]
     return kept
 
 
+def detections(norm: bytes, *, gated: bool = True) -> list[tuple[int, int, str, str]]:
+    """(start, end, label, rule) of what stays after suppression, by start; ``norm`` is a normalised text.
+
+    The gate skips rules that cannot match, and changes nothing else.
+    """
+    found = matches(norm, gated=gated)
+    kept = [x for remark in (False, True) for x in suppressed([y for y in found if y[4].remark == remark])]
+    return sorted((a, b, rule.label, rule.name) for a, b, _, _, rule in kept)
+
+
 def _base(norm: bytes) -> list[tuple[int, str]]:
     """(start, label) of all places of base phrases, overlapping ones too."""
     out = []
@@ -505,7 +590,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_words, n_base (places of base phrases), first_word and
     last_word (their smallest and largest first word, from 0), base_labels and
     labels (distinct, sorted, comma-joined; labels has those of rules too),
-    score (0 to 1, more with more evidence) and detections (of rules).
+    score (0 to 1, more with more evidence) and detections (of rules). Labels of
+    REMARKS name no license: they state a general notice.
 
     Edge cases: null is an empty text, with no words and no labels. Overlapping
     places of base phrases count each. Of equal intervals, the rule that comes

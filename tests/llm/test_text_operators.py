@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 import re
 import zlib
 
@@ -274,6 +275,64 @@ def test_license_texts_and_rows(spark):
     assert all(len(r["detections"]) == 1 for r in rows if r["labels"])
 
 
+def norm_of(text):
+    return b" " + b" ".join(text.encode().lower().translate(common._TO_SPACE).split()) + b" "
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Dual-licensed under the MIT license and the GPL v2.", "dual,gpl-2,mit"),
+    ("Dual licensed under the Apache License 2.0 and BSL 1.1", "apache-2,bsl-1.1,dual"),
+    ("Dual licensed under MIT and GPLv3", "dual,gpl-3,mit"),
+    ("licensed under the MIT License or Apache License 2.0", "apache-2,mit"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"),
+    ("SPDX-License-Identifier: (GPL-2.0-only OR MIT) AND BSD-3-Clause", "bsd-3,gpl-2,mit"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2,gpl-classpath"),
+    ("the Apache License, Version 2.0", "apache-2"),
+    ("under the GNU General Public License 3 or, alternatively, under the terms of the Mozilla Public License 2.0", "gpl-3,mpl-2"),
+    ("ask Harvard or MIT, and the Apache tribe", ""),
+])
+def test_license_expressions(text, labels):
+    assert ",".join(sorted({x[2] for x in licenses.detections(norm_of(text))})) == labels
+
+
+def naive_detections(norm):
+    """The written rule, without gates, sorted intervals or bisection."""
+    found = [(m.start(), m.end(), r.priority, n, r) for n, r in enumerate(licenses.rules()) for m in r.pattern.finditer(norm)]
+    for x in found:  # grows as it is gone through
+        joined = not x[4].remark and licenses.CONJUNCTION.match(norm, x[1])
+        for n, r in enumerate(licenses.conjuncts(), len(licenses.rules())):
+            if joined and (m := r.pattern.match(norm, joined.end() + 1)) and (m.start(), m.end(), r.priority, n, r) not in found:
+                found.append((m.start(), m.end(), r.priority, n, r))
+    kept = []
+    for remark in (False, True):
+        left, mine = [x for x in found if x[4].remark == remark], []
+        within = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and ((x[0], x[1]) != (y[0], y[1]) or y[2:4] < x[2:4])
+        while left:
+            for x in sorted((x for x in left if not any(within(x, y) for y in left)), key=lambda x: (x[2], x[0])):
+                if all(x[1] <= y[0] or y[1] <= x[0] for y in mine):
+                    mine.append(x)
+            left = [x for x in left if all(x[1] <= y[0] or y[1] <= x[0] for y in mine)]
+        kept += mine
+    return found, sorted((a, b, r.label, r.name) for a, b, _, _, r in kept)
+
+
+def test_license_suppression_by_brute_force():
+    rng = random.Random(8)
+    phrases = sorted({t.strip() for r in (*licenses.rules(), *licenses.conjuncts()) for t in shortest(licenses.parts.parse(r.pattern.pattern)) if len(t) < 200})
+    for _ in range(2000):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice(phrases).split()
+            a, b = sorted((0 if rng.random() < 0.7 else rng.randint(0, len(words)), len(words) if rng.random() < 0.7 else rng.randint(0, len(words))))
+            parts += [b" ".join(words[a:b]), rng.choice([b"", b"and", b"or", b"under the", b"1 1", b"2 0", b"license", b"the"])]
+        norm = b" " + b" ".join(b" ".join(parts).split()) + b" "
+        found, expected = naive_detections(norm)
+        got = licenses.detections(norm)
+        assert got == expected == licenses.detections(norm, gated=False), norm
+        for a, b, _, _, rule in found:  # nothing is lost that touches nothing that stays
+            assert any(a < y and x < b and (label in licenses.REMARKS) == rule.remark for x, y, label, _ in got), norm
+
+
 def test_license_intervals_do_not_overlap():
     norm = b" " + b" ".join(b"licensed under the apache license version 2 0 or the mit license spdx license identifier gpl 2 0 only".split()) + b" "
     found = licenses.detections(norm)
