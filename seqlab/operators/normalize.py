@@ -9,6 +9,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.operators.quantiles import FEW, exact_medians
+from seqlab.sources.scratch import broadcast_if_small, saved
+
 MAD_SCALE = 1.4826
 
 
@@ -28,26 +31,35 @@ def drop_missing(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.na.drop("any", subset=list(columns))
 
 
-def robust_zscore(rows: DataFrame, columns: Sequence[str], *, by: Sequence[str] = ("experiment_name",), mad_scope: str = "column") -> DataFrame:
+def robust_zscore(rows: DataFrame, columns: Sequence[str], *, by: Sequence[str] = ("experiment_name",), mad_scope: str = "column", few: int = FEW) -> DataFrame:
     """(x - median) / (1.4826 * MAD) within ``by``, as z_*.
 
     ``mad_scope='column'`` (V10): a MAD for each column; ``'global'`` (V11): one
-    for all columns together. A MAD of 0 gives null. Medians are exact; they are
-    aggregated and joined back, so that they combine before the shuffle.
+    for all columns together. A MAD of 0, or a group without values, gives null.
+    Medians are exact and counted (``exact_medians``): no buffer grows with a
+    group. Medians and MADs are one row a group, joined back once.
     """
+    if mad_scope not in ("column", "global"):
+        raise ValueError("mad_scope must be 'column' or 'global'")
     by = list(by)
-    medians = rows.groupBy(*by).agg(*(F.median(c).alias(f"_med_{c}") for c in columns))
-    met = rows.join(medians, by) if by else rows.join(F.broadcast(medians))
-    gap = {c: F.abs(F.col(c) - F.col(f"_med_{c}")) for c in columns}
-    if mad_scope == "column":
-        mads = met.groupBy(*by).agg(*(F.median(gap[c]).alias(f"_mad_{c}") for c in columns))
-    elif mad_scope == "global":
-        long = met.select(*by, F.explode(F.array(*gap.values())).alias("_gap"))
-        mads = long.groupBy(*by).agg(F.median("_gap").alias("_mad")).select(*by, *(F.col("_mad").alias(f"_mad_{c}") for c in columns))
+    names = {k: f"_by_{i}" for i, k in enumerate(by)}
+    long = rows.select(*(F.col(k).alias(v) for k, v in names.items()), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_c", "x")).where("x IS NOT NULL")
+    keys = [*names.values(), "_c"]
+    medians = saved(exact_medians(long, keys, "x", few=few).drop("n"), "column-medians")
+    of = broadcast_if_small(medians.select(*(F.col(k).alias(f"_{k}") for k in keys), "median"))
+    on = [long[k].eqNullSafe(of[f"_{k}"]) for k in keys]
+    gaps = long.join(of, reduce(lambda a, b: a & b, on)).select(*keys, F.abs(F.col("x") - F.col("median")).alias("x"))
+    scope = keys if mad_scope == "column" else keys[:-1]
+    mads = exact_medians(gaps, scope, "x", few=few)
+    wide = lambda t, name: t.groupBy(*keys[:-1]).agg(*(F.max(F.when(F.col("_c") == i, F.col("median"))).alias(f"_{name}_{i}") for i in range(len(columns))))
+    spread = wide(mads, "mad") if mad_scope == "column" else mads.select(*keys[:-1], *(F.col("median").alias(f"_mad_{i}") for i in range(len(columns))))
+    stats = wide(medians, "median")
+    if by:
+        stats = stats.join(spread.withColumnsRenamed({k: f"_{k}" for k in keys[:-1]}), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[:-1]]), "left")
+        met = rows.join(stats, reduce(lambda a, b: a & b, [rows[k].eqNullSafe(stats[v]) for k, v in names.items()]), "left")
     else:
-        raise ValueError("mad_scope must be 'column' or 'global'")
-    met = met.join(mads, by) if by else met.join(F.broadcast(mads))
-    return met.select(*rows.columns, *(F.try_divide(F.col(c) - F.col(f"_med_{c}"), MAD_SCALE * F.col(f"_mad_{c}")).alias(f"z_{c}") for c in columns))
+        met = rows.join(F.broadcast(stats)).join(F.broadcast(spread))  # a row each
+    return met.select(*(rows[c] for c in rows.columns), *(F.try_divide(rows[c] - F.col(f"_median_{i}"), MAD_SCALE * F.col(f"_mad_{i}")).alias(f"z_{c}") for i, c in enumerate(columns)))
 
 
 def preprocess(rows: DataFrame, columns: Sequence[str], *, method: str = "robust_zscore", order: str = "dropna_first", by: Sequence[str] = ("experiment_name",), mad_scope: str = "column") -> DataFrame:

@@ -32,11 +32,34 @@ def cosine_distances(left: DataFrame, right: DataFrame, *, keys_l: Sequence[str]
     return pairs.select(*on, (1 - F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("a_norm") * F.col("b_norm"))).alias("cosine_distance"))
 
 
-def subject_distances(left: DataFrame, right: DataFrame, *, group: str = "group", subject: str = "uuid", dim: str = "syllable", value: str = "usage") -> DataFrame:
-    """For each left subject and right group, the mean cosine distance to the group's subjects (V2); null distances don't count."""
-    d = cosine_distances(left, right, keys_l=(group, subject), keys_r=(group, subject), dim=dim, value=value)
-    out = d.groupBy(F.col(f"a_{group}").alias("group1"), F.col(f"b_{group}").alias("group2"), F.col(f"a_{subject}").alias(subject))
-    return out.agg(F.avg("cosine_distance").alias("cosine_distance"))
+def subject_distances(left: DataFrame, right: DataFrame, *, group: str = "group", subject: str = "uuid", dim: str = "syllable", value: str = "usage", spread: int = 32) -> DataFrame:
+    """For each left subject and right group, the mean cosine distance to the group's subjects (V2); zero vectors don't count, nor does a left one have distances.
+
+    The mean of cosines is the product with the mean of the group's unit
+    vectors, so that subjects never meet: a group's unit vectors are added up
+    first, and a subject meets one vector a group. Each vector has a further
+    entry of 0, dealt to ``spread`` values on the left and to all of them on the
+    right, so that subjects and groups without a common dimension meet too,
+    and that no dimension is hotter than those of the data.
+    """
+    def units(rows: DataFrame) -> DataFrame:
+        norm = rows.groupBy(group, subject).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm")).withColumnsRenamed({group: "_g", subject: "_s"})
+        met = rows.join(norm, rows[group].eqNullSafe(norm["_g"]) & rows[subject].eqNullSafe(norm["_s"]))
+        return met.select(rows[group].alias("g"), rows[subject].alias("s"), F.col(dim).alias("d"), F.when(F.col("_norm") > 0, F.col(value) / F.col("_norm")).alias("x"))
+
+    none = F.lit(None).cast(dict(left.dtypes)[dim])
+    a, b = units(left), units(right)
+    salt = F.pmod(F.xxhash64("s"), F.lit(spread)).cast("int")
+    own = a.groupBy("g", "s").agg(F.max(F.col("x").isNotNull()).alias("ok")).select("g", "s", none.alias("d"), F.lit(0.0).alias("x"), "ok", salt.alias("slot"))
+    a = a.where("x IS NOT NULL").select("g", "s", "d", "x", F.lit(None).cast("boolean").alias("ok"), F.lit(-1).alias("slot")).unionByName(own)
+    means = b.groupBy("g", "d").agg(F.sum("x").alias("y"))
+    sizes = b.groupBy("g").agg(F.countDistinct(F.when(F.col("x").isNotNull(), F.struct("s"))).alias("n"))
+    every = sizes.select("g", none.alias("d"), F.lit(0.0).alias("y"), "n", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("slot"))
+    b = means.where("y IS NOT NULL").select("g", "d", "y", F.lit(None).cast("long").alias("n"), F.lit(-1).alias("slot")).unionByName(every)
+    b = b.select(F.col("g").alias("group2"), F.col("d").alias("e"), "y", "n", F.col("slot").alias("place"))
+    met = a.join(b, (F.col("slot") == F.col("place")) & F.col("d").eqNullSafe(F.col("e")))
+    dots = met.groupBy(F.col("g").alias("group1"), "group2", F.col("s").alias(subject)).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.max("n").alias("n"), F.max("ok").alias("ok"))
+    return dots.select("group1", "group2", subject, F.when(F.col("ok") & (F.col("n") > 0), 1 - F.col("dot") / F.col("n")).alias("cosine_distance"))
 
 
 def both_directions(a: DataFrame, b: DataFrame, **names) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, normalize, similarity, treatments, usage
+from seqlab.operators import cluster, normalize, quantiles, similarity, treatments, usage
 from seqlab.plans import registry
 from seqlab.plans.register import query, table
 
@@ -125,6 +125,14 @@ def robust_zscore_global_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("experiment_name", "syllable_id", F.round("z_size", 6).alias("z_size"), F.round("z_price", 6).alias("z_price"))
 
 
+@query("SELECT l_returnflag, c AS column_name, median(x) AS median, count(x) AS n FROM (SELECT l_returnflag, unnest(['quantity', 'price']) AS c, unnest([CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE)]) AS x FROM lineitem) GROUP BY ALL")
+def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of large groups (A22), by counting."""
+    values = F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(c).cast("double").alias("x")) for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"))))
+    long = table(spark, sf_dir, "lineitem").select("l_returnflag", F.inline(values))
+    return quantiles.exact_medians(long, ["l_returnflag", "column_name"], "x")
+
+
 @query("SELECT 'size' AS column_name, CAST(count(*) FILTER (p_size % 7 = 0) AS BIGINT) AS n_missing, count(*) AS n_rows FROM part UNION ALL SELECT 'price', 0, count(*) FROM part")
 def dropna_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _features(spark, sf_dir).withColumn("size", F.when(F.col("size") % 7 != 0, F.col("size")))
