@@ -17,6 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.operators.silhouettes import BLOCK, silhouette_curve, silhouette_samples
+from seqlab.sources.scratch import saved
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two arrays."""
@@ -100,54 +103,40 @@ def pca(points: DataFrame, k: int = 20, *, features: str = "features") -> tuple[
     return out, components, variance
 
 
+def _kmeans_model(vectors: DataFrame, k: int, seed: int, to: str = "cluster"):
+    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=to).fit(vectors)
+
+
 def kmeans(points: DataFrame, k: int, *, seed: int = 0, features: str = "features") -> tuple[DataFrame, DataFrame]:
     """k-means (C2): (points with ``cluster``, centroids (cluster, centroid))."""
     vectors = points.drop("cluster").withColumn("_v", array_to_vector(features))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(vectors)
+    model = _kmeans_model(vectors, k, seed)
     centroids = points.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
     return model.transform(vectors).drop("_v"), centroids
 
 
-def silhouettes(points: DataFrame, *, key: str = "id", features: str = "features", block: int = 2048) -> DataFrame:
-    """Euclidean silhouette of each point (C3): key, cluster, silhouette; a cluster of one has 0.
-
-    Every point meets every other, which the exact Euclidean form requires.
-    Points are packed into blocks, and each block gets the others' blocks one
-    after another; a task holds two blocks. For label-level tables.
-    """
-    rows = points.select(F.col(key).cast("string").alias("key"), "cluster", features)
-    n = max(1, -(-rows.count() // block))
-    packed = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("key", "cluster", F.col(features).alias("x"))).alias("p"))
-    dealt = packed.select("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o")).join(packed.select(F.col("b").alias("o"), F.col("p").alias("q")), "o")
-
-    def sums(batches):
-        for pdf in batches:
-            for p, q in zip(pdf["p"], pdf["q"], strict=True):
-                x, y = (np.array([r["x"] for r in side], float) for side in (p, q))
-                d = np.sqrt(np.maximum(0, ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)))
-                clusters = np.array([r["cluster"] for r in q])
-                for c in np.unique(clusters):
-                    part = d[:, clusters == c]
-                    yield pd.DataFrame({"key": [r["key"] for r in p], "cluster": [r["cluster"] for r in p], "other": int(c), "total": part.sum(axis=1), "n": part.shape[1]})
-
-    total = dealt.select("p", "q").mapInPandas(sums, "key string, cluster int, other int, total double, n long").groupBy("key", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    own = F.max(F.when(F.col("cluster") == F.col("other"), F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1))))
-    away = F.min(F.when(F.col("cluster") != F.col("other"), F.col("total") / F.col("n")))
-    out = total.groupBy("key", "cluster").agg(own.alias("a"), away.alias("b"))
-    return out.select(F.col("key").alias(key), "cluster", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+def silhouettes(points: DataFrame, *, key: str = "id", features: str = "features", block: int = BLOCK) -> DataFrame:
+    """Euclidean silhouette of each point (C3): key, cluster, silhouette; a cluster of one has 0."""
+    samples = silhouette_samples(points, ["cluster"], key=key, features=features, block=block)
+    own = points.select(F.col(key).cast("string").alias("_key"), "cluster")
+    return samples.join(own, F.col("key") == F.col("_key")).select(F.col("key").alias(key), "cluster", F.get("silhouettes", F.lit(0)).alias("silhouette"))
 
 
 def choose_k(points: DataFrame, *, seed: int = 0, features: str = "features", key: str = "id", least: int = 20, most: int = 300, step: int = 3) -> DataFrame:
-    """Mean silhouette for each k in range(least, min(most, n // 2), step) (C3); the best is the first by (silhouette desc, k) (S4). Raises if there is no such k."""
+    """Mean silhouette for each k in range(least, min(most, n // 2), step) (C3); the best is the first by (silhouette desc, k) (S4). Raises if there is no such k.
+
+    Every k has its own fit, but distances between points are computed once for all of them.
+    """
     n = points.count()
     ks = range(least, min(most, n // 2), step)
     if not ks:
         raise ValueError(f"{n} points allow no k from {least}: give the number of clusters")
-    rows = []
+    fitted = saved(points.select(F.col(key).alias("id"), F.col(features).alias("features")).withColumn("_v", array_to_vector("features")), "points")
+    found = fitted
     for k in ks:
-        found, _ = kmeans(points, k, seed=seed, features=features)
-        rows.append((k, silhouettes(found, key=key, features=features).agg(F.avg("silhouette")).first()[0]))
-    return points.sparkSession.createDataFrame(rows, "k int, silhouette double").orderBy(F.desc("silhouette"), "k")
+        found = _kmeans_model(fitted, k, seed, f"k{k}").transform(found)
+    curve = silhouette_curve(found.drop("_v"), {k: f"k{k}" for k in ks})
+    return curve.select("k", "silhouette").orderBy(F.desc("silhouette"), "k")
 
 
 def affinity_propagation(points: DataFrame, *, key: str = "id", features: str = "features", damping: float = 0.5, max_iter: int = 200, stable: int = 15, most: int = 5000) -> DataFrame:

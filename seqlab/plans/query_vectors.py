@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, features, similarity
+from seqlab.operators import cluster, features, silhouettes, similarity
 from seqlab.plans.register import query, table
 
 
@@ -104,6 +104,20 @@ def silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("id"), "cluster", F.round("silhouette", 5).alias("silhouette"))
 
 
+@query(
+    """WITH l AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS t, count(*) AS n FROM l a CROSS JOIN l b GROUP BY ALL),
+s AS (SELECT id, k, label % k AS c, other % k AS o, sum(t) AS t, sum(n) AS n FROM p, (SELECT unnest([2, 3, 5, 7]) AS k) GROUP BY ALL),
+ab AS (SELECT id, k, max(CASE WHEN c = o AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN c <> o THEN t / n END) AS b FROM s GROUP BY ALL),
+m AS (SELECT k, avg(coalesce((b - a) / greatest(a, b), 0)) AS s FROM ab GROUP BY k)
+SELECT k, round(s, 7) AS silhouette, row_number() OVER (ORDER BY s DESC, k) = 1 AS best FROM m"""
+)
+def silhouette_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The silhouette curve of four clusterings and its first maximum (C3, S4), all from one pass of distances."""
+    p = points(spark, sf_dir)
+    out = silhouettes.silhouette_curve(p.withColumns({f"k{k}": F.pmod("label", F.lit(k)) for k in (2, 3, 5, 7)}), {k: f"k{k}" for k in (2, 3, 5, 7)})
+    return out.withColumn("silhouette", F.round("silhouette", 7))
+
+
 @query(
     """WITH m AS (SELECT vec_id AS id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS v FROM embeddings), s AS (SELECT id, v, list_sum(v) AS t FROM m)
 SELECT id, round(list_max(v), 6) AS spectral_radius, round(-list_sum(list_transform(v, lambda x: (x / t) * ln(x / t + 1e-10))), 6) AS dynamic_complexity FROM s"""

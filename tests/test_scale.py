@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.operators import normalize, quantiles, similarity
+from seqlab.operators import cluster, normalize, quantiles, silhouettes, similarity
 
 
 def plan_of(df):
@@ -115,3 +115,46 @@ def test_subject_distances_are_means_over_pairs(spark):
     assert "NestedLoop" not in plan_of(out) and "Cartesian" not in plan_of(out)
     assert similarity.subject_distances(a.where("false"), b).collect() == []
     assert out.where(F.col("uuid") == "zero").select("cosine_distance").distinct().collect()[0][0] is None
+
+
+def numpy_silhouettes(x, labels):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    out = []
+    for i, own in enumerate(labels):
+        mine = labels == own
+        others = [d[i, labels == c].mean() for c in set(labels) if c != own]
+        a = d[i, mine].sum() / max(1, mine.sum() - 1)
+        b = min(others, default=0)
+        out.append((b - a) / max(a, b) if mine.sum() > 1 and others and max(a, b) > 0 else 0.0)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("block", [1, 7, 2048])
+def test_silhouettes_of_many_clusterings(spark, block, monkeypatch):
+    rng = np.random.default_rng(block)
+    x = np.concatenate([rng.normal(size=(40, 3)), np.zeros((6, 3))])
+    labels = np.column_stack([rng.integers(0, k, 46) for k in (1, 2, 9)] + [np.arange(46), np.repeat([0, 12], 23)])
+    names = [f"c{i}" for i in range(labels.shape[1])]
+    rows = [(i, v.tolist(), *c.tolist()) for i, (v, c) in enumerate(zip(x, labels, strict=True))] + [(90, None, *[0] * 5), (91, [0.0] * 3, None, *[0] * 4)]
+    df = spark.createDataFrame(rows, "id int, features array<double>, " + ", ".join(f"{c} int" for c in names)).repartition(2)
+    got = {int(r["key"]): r["silhouettes"] for r in silhouettes.silhouette_samples(df, names, block=block).collect()}
+    want = np.column_stack([numpy_silhouettes(x, c) for c in labels.T])
+    assert set(got) == set(range(46)) and np.allclose([got[i] for i in range(46)], want)
+    curve = {r["k"]: (r["silhouette"], r["best"]) for r in silhouettes.silhouette_curve(df.where("id < 90"), {10 - i: c for i, c in enumerate(names)}, block=block).collect()}
+    means = {10 - i: m for i, m in enumerate(want.mean(axis=0))}
+    assert all(curve[k][0] == pytest.approx(m) for k, m in means.items())
+    assert [k for k, (_, best) in curve.items() if best] == [min(means, key=lambda k: (-round(means[k], 12), k))]
+    assert silhouettes.silhouette_samples(df.where("false"), names).collect() == []
+
+
+def test_distances_are_computed_once_for_all_k(spark, monkeypatch):
+    """The pass over blocks is one job whatever the number of k; more clusters only make blocks smaller."""
+    x = np.random.default_rng(1).normal(size=(60, 2)) + np.repeat([[0, 0], [20, 0], [0, 20]], 20, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    calls = []
+    real = silhouettes._go_through
+    monkeypatch.setattr(silhouettes, "_go_through", lambda dims, tops: calls.append(len(tops)) or real(dims, tops))
+    curve = cluster.choose_k(df, least=2, most=8, step=1).collect()
+    assert calls == [6] and curve[0]["k"] == 3 and curve[0]["silhouette"] > 0.8
+    own = np.repeat([0, 1, 2], 20)  # three groups far apart: the fit of 3 is no matter of seeds
+    assert curve[0]["silhouette"] == pytest.approx(numpy_silhouettes(x, own).mean())
