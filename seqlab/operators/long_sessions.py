@@ -17,6 +17,15 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
+#: Frames of a session from which it is gone through in chunks.
+LONG = 1 << 22
+
+
+def needed(frames: DataFrame, *, key: str = "uuid", most: int = LONG) -> bool:
+    """Whether a session has more than ``most`` frames: one count of each session."""
+    return not frames.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).isEmpty()
+
+
 def _chunked(frames: DataFrame, position: str, chunk: int) -> DataFrame:
     return frames.withColumn("_chunk", F.floor(F.col(position) / chunk))
 

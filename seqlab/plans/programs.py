@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, features, intervals, normalize, resample, sequence, similarity, usage
+from seqlab.operators import cluster, features, intervals, long_intervals, long_sessions, normalize, resample, sequence, similarity, usage
 from seqlab.plans.registry import Library
 
 log = logging.getLogger(__name__)
@@ -75,19 +75,21 @@ class FlipReport:
     merge_map: DataFrame
 
 
-def flip_quality(frames: DataFrame, labels: DataFrame, flipped: DataFrame, *, confusion_threshold: float = 0.35, kinematic_threshold: float = 0.85, pair_threshold: float = 0.1, horizon_s: float = 0.4, fps: float | None = None) -> FlipReport:
+def flip_quality(frames: DataFrame, labels: DataFrame, flipped: DataFrame, *, confusion_threshold: float = 0.35, kinematic_threshold: float = 0.85, pair_threshold: float = 0.1, horizon_s: float = 0.4, fps: float | None = None, long_from: int = long_sessions.LONG) -> FlipReport:
     """Agreement of labels with those of flipped recordings, and labels to merge.
 
     ``labels``, ``flipped``: uuid, frame_seq, label. ``frames``: the frame table
     with onset, angle and kinematics. The frame rate is taken from timestamps
-    unless it is given. No candidate gives empty tables.
+    unless it is given. No candidate gives empty tables. Sessions are gone
+    through in chunks if one has more than ``long_from`` frames.
     """
     similarity.check_same_sessions(labels, flipped)
     both = labels.where("label >= 0").join(flipped.where("label >= 0").withColumnRenamed("label", "flipped"), ["uuid", "frame_seq"])
     jaccard = similarity.label_jaccard(both)
     per_label = jaccard.where("i = j").orderBy(F.desc("jaccard"), "i")
     fps = fps or sequence.sampling_rate(frames).first()["fps"]
-    runs = sequence.number_runs(sequence.run_durations(frames))
+    by = long_sessions if long_sessions.needed(frames, most=long_from) else sequence
+    runs = by.number_runs(by.run_durations(frames))
     aligned = sequence.align_to_onset(runs, value="angle").withColumn("angle", F.col("aligned"))
     aligned = sequence.duration_band(aligned, fps=fps)
     metrics = ["angle", "velocity_3d_mm", "height_ave_mm", "length_mm"]
@@ -103,12 +105,16 @@ def flip_quality(frames: DataFrame, labels: DataFrame, flipped: DataFrame, *, co
     return FlipReport(similarity.agreement(both), per_label, directed, accepted, accepted.select(F.col("to_merge").alias("old"), F.col("merge_into").alias("new")))
 
 
-def empty_ranges(frames: DataFrame, *, empty_threshold: float = 10.0, split_threshold: int = 150, filter_size: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(empty share per recording, ranges to keep of flagged recordings). ``frames``: uuid, frame_seq, empty."""
+def empty_ranges(frames: DataFrame, *, empty_threshold: float = 10.0, split_threshold: int = 150, filter_size: int = 9, long_from: int = long_sessions.LONG) -> tuple[DataFrame, DataFrame]:
+    """(empty share per recording, ranges to keep of flagged recordings). ``frames``: uuid, frame_seq, empty.
+
+    Recordings are gone through in chunks if one has more than ``long_from`` frames.
+    """
+    by = long_intervals if long_sessions.needed(frames, most=long_from) else intervals
     share = intervals.empty_fraction(frames, threshold=empty_threshold)
     flagged = frames.join(share.where("flagged").select("uuid"), "uuid", "left_semi")
-    found = intervals.empty_intervals(intervals.dilate(flagged, width=filter_size), longer_than=split_threshold)
-    return share, intervals.kept_ranges(intervals.merge_intervals(found, gap=2 * split_threshold))
+    found = by.empty_intervals(by.dilate(flagged, width=filter_size), longer_than=split_threshold)
+    return share, by.kept_ranges(by.merge_intervals(found, gap=2 * split_threshold))
 
 
 def slice_frames(frames: DataFrame, *, time_slice: tuple[float, float] = (0, 30)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlab.functions import text as X
-from seqlab.operators import features, intervals, long_sessions, sequence, similarity, treatments, usage
+from seqlab.operators import features, intervals, long_intervals, long_sessions, sequence, similarity, treatments, usage
 from seqlab.plans.register import query, table
 from seqlab.sources import session_store
 
@@ -234,6 +234,14 @@ def kept_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.kept_ranges(intervals.merge_intervals(_intervals(spark, sf_dir), gap=6)).select("uuid", "start", "stop", "idx")
 
 
+@query(f"WITH {I_SQL} SELECT uuid, start, stop, idx FROM kp")
+def long_kept_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W9 and W11-W14 for recordings too long for one task, in small chunks."""
+    dilated = long_intervals.dilate(_empty(spark, sf_dir), width=3, chunk=16)
+    merged = long_intervals.merge_intervals(long_intervals.empty_intervals(dilated, longer_than=3, chunk=16), gap=6, chunk=16)
+    return long_intervals.kept_ranges(merged, chunk=16)
+
+
 @query(f"WITH {I_SQL} SELECT CAST(f.uuid AS VARCHAR) || '-split-' || lpad(CAST(idx AS VARCHAR), 2, '0') AS split_id, f.uuid, frame_seq, frame_seq - start AS split_seq FROM f JOIN kp ON f.uuid = kp.uuid AND frame_seq >= start AND frame_seq < stop")
 def range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = intervals.kept_ranges(intervals.merge_intervals(_intervals(spark, sf_dir), gap=6))
