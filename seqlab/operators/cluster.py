@@ -14,23 +14,23 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.operators.lloyd import DIGITS, pruned_lloyd, squared_distance
 from seqlab.operators.silhouettes import BLOCK, silhouette_curve, silhouette_samples
 from seqlab.sources.scratch import saved
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+def assign(points: DataFrame, centroids: DataFrame, *, features: str = "features", digits: int = DIGITS, max_bytes: int = 1 << 20) -> DataFrame:
+    """Each point with its nearest centroid (J9, C5, S6): cluster and distance; ties (in ``digits`` of the square) go to the smaller cluster.
 
-
-def assign(points: DataFrame, centroids: DataFrame, *, features: str = "features", digits: int = 9) -> DataFrame:
-    """Each point with its nearest centroid (J9, C5, S6): cluster and distance; ties (in ``digits``) go to the smaller cluster.
-
-    All centroids come as one broadcast row; no point is repeated for each.
+    Up to ``max_bytes`` all centroids come as one broadcast row; more of them
+    come in blocks (``lloyd.two_nearest``). No point is repeated for each.
     """
+    size = centroids.agg(F.coalesce(F.sum(F.size("centroid") * 8 + 16), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return pruned_lloyd(points, centroids, rounds=0, features=features)[0]
     table = centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", F.col("centroid")))).alias("_c"))
     near = F.transform("_c", lambda c: F.struct(F.round(squared_distance(F.col(features), c["centroid"]), digits).alias("d2"), c["cluster"].alias("cluster")))
     out = points.join(F.broadcast(table)).withColumn("_n", F.array_min(near)).drop("_c")
@@ -52,9 +52,8 @@ def lloyd_step(points: DataFrame, centroids: DataFrame, *, features: str = "feat
 def update_centroids(old: DataFrame, new: DataFrame, centroids: DataFrame, *, max_iter: int = 2, features: str = "features") -> tuple[DataFrame, DataFrame]:
     """A few warm Lloyd iterations over old and new points (C7, C8): (points with origin and cluster, centroids)."""
     points = old.withColumn("origin", F.lit("old")).unionByName(new.withColumn("origin", F.lit("new")), allowMissingColumns=True)
-    for _ in range(max_iter):
-        centroids = lloyd_step(points, centroids, features=features)
-    return assign(points, centroids, features=features), centroids
+    out, centroids, _ = pruned_lloyd(points, centroids, rounds=max_iter, features=features)
+    return out, centroids
 
 
 def add_clusters(old: DataFrame, flagged: DataFrame, centroids: DataFrame, *, most: int = 5, seed: int = 42, features: str = "features") -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, features, silhouettes, similarity
+from seqlab.operators import cluster, features, lloyd, silhouettes, similarity
 from seqlab.plans.register import query, table
 
 
@@ -93,6 +93,24 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cluster", F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
+def _lloyd_sql(rounds: int) -> str:
+    near = """a{i} AS MATERIALIZED (SELECT id, arg_min(cluster, struct_pack(d2 := d2, c := cluster)) AS cluster, min(d2) AS d2 FROM (
+  SELECT l.id, c.cluster, round(sum((l.x - c.x) * (l.x - c.x)), 9) AS d2 FROM l JOIN c{i} c USING (d) GROUP BY ALL) GROUP BY id)"""
+    step = """,
+c{i} AS MATERIALIZED (SELECT cluster, d, avg(x) AS x FROM a{p} JOIN l USING (id) GROUP BY ALL),
+"""
+    text = "WITH l AS MATERIALIZED (SELECT vec_id AS id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),\nc0 AS (SELECT id AS cluster, d, x FROM l WHERE id < 4),\n"
+    text += near.format(i=0) + "".join(step.format(i=i, p=i - 1) + near.format(i=i) for i in range(1, rounds + 1))
+    return f"{text}\nSELECT id, cluster, round(sqrt(d2), 6) AS distance FROM a{rounds}"
+
+
+@query(_lloyd_sql(3))
+def lloyd_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pruned Lloyd iterations and the assignment that follows."""
+    out, _, _ = lloyd.pruned_lloyd(points(spark, sf_dir), _centroids(spark, sf_dir), rounds=3)
+    return out.select("id", F.col("cluster").cast("long").alias("cluster"), F.round("distance", 6).alias("distance"))
+
+
 @query(
     """WITH l AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.id, a.label, b.label AS other, list_distance(a.e, b.e) AS d FROM l a CROSS JOIN l b),
 s AS (SELECT id, label, other, sum(d) AS t, count(*) AS n FROM p GROUP BY ALL),

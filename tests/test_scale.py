@@ -7,10 +7,11 @@ import sys
 import textwrap
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, normalize, quantiles, silhouettes, similarity
+from seqlab.operators import cluster, lloyd, normalize, quantiles, silhouettes, similarity
 
 
 def plan_of(df):
@@ -158,3 +159,42 @@ def test_distances_are_computed_once_for_all_k(spark, monkeypatch):
     assert calls == [6] and curve[0]["k"] == 3 and curve[0]["silhouette"] > 0.8
     own = np.repeat([0, 1, 2], 20)  # three groups far apart: the fit of 3 is no matter of seeds
     assert curve[0]["silhouette"] == pytest.approx(numpy_silhouettes(x, own).mean())
+
+
+@pytest.mark.parametrize("bounds", [{}, {"block": 3, "max_bytes": 200}])
+def test_pruned_lloyd_equals_plain_steps(spark, bounds):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 3)) * 10
+    x = np.concatenate([middle[i % 12] + rng.normal(size=3) for i in range(400)]).reshape(-1, 3).round(2)
+    points = spark.createDataFrame([(i, v.tolist(), 7, "a") for i, v in enumerate(x)] + [(0, x[0].tolist(), 7, "again"), (900, None, 7, "none")], "id int, features array<double>, cluster int, row string").repartition(3)
+    start = [*x[:12], x[3], np.full(3, 1e3)]  # a centroid twice, and one that no point goes to
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(start)], "cluster int, centroid array<double>")
+    usable = points.where("features IS NOT NULL")
+    plain = centroids
+    for _ in range(5):
+        step = cluster.lloyd_step(usable, plain)
+        plain = spark.createDataFrame(step.collect(), step.schema)
+    out, got, report = lloyd.pruned_lloyd(points, centroids, rounds=5, **bounds)
+    want = {r["cluster"]: r["centroid"] for r in plain.collect()}
+    mine = {r["cluster"]: r["centroid"] for r in got.collect()}
+    assert set(mine) == set(want) and all(np.allclose(mine[c], want[c], atol=1e-9) for c in want)
+    key = lambda df: sorted((r["id"], r["row"], r["cluster"], round(r["distance"], 6)) for r in df.collect())
+    assert key(out) == key(cluster.assign(usable, got)) and len(key(out)) == 401
+    told = report.orderBy("round").collect()
+    assert [r["round"] for r in told] == list(range(6)) and all(r["n_kept"] + r["n_own"] + r["n_scanned"] == 401 for r in told)
+    assert told[0]["share"] == 1 and told[-1]["share"] < 0.5  # few are compared with all
+
+
+def test_fifty_thousand_centroids(spark):
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(50_000, 8))
+    x = np.concatenate([c[rng.integers(0, 50_000, 300)] + 0.01 * rng.normal(size=(300, 8)), c[:20]])
+    centroids = spark.createDataFrame(pd.DataFrame({"cluster": np.arange(50_000, dtype="int32"), "centroid": c.tolist()}))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    found = {r["id"]: (r["cluster"], r["distance"]) for r in cluster.assign(points, centroids).collect()}
+    for i, v in enumerate(x):
+        d2 = ((c - v) ** 2).sum(axis=1)
+        assert found[i][0] == d2.argmin() and found[i][1] == pytest.approx(math.sqrt(d2.min()), abs=1e-4)
+    _, _, report = lloyd.pruned_lloyd(points, centroids, rounds=1, max_bytes=1 << 20)  # four passes
+    last = report.orderBy("round").collect()[-1]
+    assert last["n_points"] == 320 and last["share"] < 1
