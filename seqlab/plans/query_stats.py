@@ -187,6 +187,30 @@ def version_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.retention(v)
 
 
+@query(
+    """WITH v AS (SELECT o_custkey AS library, o_orderkey % 5 <> 0 AS ok, o_orderkey % 11 AS major, o_orderkey % 23 AS minor FROM orders),
+n AS (SELECT library, max(struct_pack(a := major, b := minor)) FILTER (ok) AS m FROM v GROUP BY library)
+SELECT library, CASE WHEN m IS NULL THEN 'v1.0' ELSE 'v' || CAST(m.a + 1 AS VARCHAR) || '.0' END AS generated, CASE WHEN m IS NULL THEN 'v1.0' ELSE 'v' || CAST(m.a AS VARCHAR) || '.' || CAST(m.b + 1 AS VARCHAR) END AS added FROM n"""
+)
+def version_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: each customer's orders as versions of a library, every fifth a name that does not parse."""
+    major, minor = ((F.col("o_orderkey") % m).cast("string") for m in (11, 23))
+    name = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("draft"), major)).otherwise(F.concat(F.lit("v"), major, F.lit("."), minor))
+    return registry.successors(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("library"), name.alias("version")), by=["library"])
+
+
+@query(
+    """WITH c AS (SELECT l_suppkey AS library, l_orderkey * 8 + l_linenumber AS seq, CASE l_partkey % 4 WHEN 0 THEN 'archive' WHEN 1 THEN 'restore' ELSE 'save' END AS action, 'v1.' || CAST(l_partkey % 9 AS VARCHAR) AS version FROM lineitem)
+SELECT library, version, count(*) AS n_commits, arg_max(action, seq) = 'archive' AS archived FROM c GROUP BY ALL HAVING count(*) FILTER (action = 'save') > 0"""
+)
+def library_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's order lines as commits of a library, and the state that they lead to."""
+    at = F.col("l_partkey") % 4
+    action = F.when(at == 0, registry.ARCHIVE).when(at == 1, registry.RESTORE).otherwise(registry.SAVE)
+    commits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("library"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), action.alias("action"), F.concat(F.lit("v1."), (F.col("l_partkey") % 9).cast("string")).alias("version"))
+    return registry.replay(commits, by=["library"])
+
+
 @query(
     f"""WITH {P_SQL}, g AS (SELECT experiment_name, syllable_id, CASE WHEN syllable_id % 7 <> 0 THEN size END AS size, price FROM p),
 f AS (SELECT *, 'dropna_first' AS mode FROM g WHERE size IS NOT NULL UNION ALL SELECT *, 'normalize_first' FROM g),

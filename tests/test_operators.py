@@ -2,6 +2,7 @@
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -374,8 +375,45 @@ def test_versions(spark, tmp_path):
     shown = {r["version"]: r["status"] for r in lib.list_versions(spark, archived=True).collect()}
     assert shown == {"v1.0": "Original", "v1.1": "Archived", "v1.2": "Archived", "v2.0": "Update", "v2.1": "Update"}
     assert lib.restore("1.1") == "v1.1" and lib.load(spark, "v1.1")["library"].first()["x"] == 1
+    for gone in ("v9.9", "v2.1"):
+        with pytest.raises(FileNotFoundError):
+            lib.restore(gone)
     with pytest.raises(FileNotFoundError):
-        lib.restore("v9.9")
+        lib.load(spark, "v1.2")
+    state = spark.createDataFrame([(c["seq"], c["action"], c["version"]) for c in lib.commits()], "seq long, action string, version string")
+    assert {r["version"]: r["archived"] for r in registry.replay(state).collect()} == {c["version"]: c["archived"] for c in lib.manifest()["versions"]}
+    assert [c["version"] for c in lib.manifest(at=2)["versions"]] == ["v1.0", "v1.1"]
+
+
+def test_first_version_that_was_added_is_no_original(spark, tmp_path):
+    lib, table = registry.Library(str(tmp_path)), spark.createDataFrame([(1,)], "x int")
+    save = lambda initial: lib.save({"library": table}, initial=initial, normalization="zscore", features=["x"])
+    assert save(False) == "v1.0" and lib.manifest()["original_library"] is None
+    assert save(True) == "v2.0" and lib.manifest()["original_library"] == "v2.0"
+    log = [{"seq": 1, "action": "save", "version": "draft", "is_initial_library": True}]
+    assert lib._next(log, False) == lib._next([], False) == "v1.0"  # names that do not parse count as none
+
+
+def test_two_writers_get_two_versions(spark, tmp_path, monkeypatch):
+    tables = [spark.createDataFrame([(i,)], "x int") for i in range(2)]
+    mine, theirs = registry.Library(str(tmp_path)), registry.Library(str(tmp_path))
+    real, once = registry.Library._create, []
+
+    def late(self, path, text):
+        if self is mine and not once:  # the other writer commits between this one's reading and its commit
+            once.append(theirs.save({"library": tables[1]}, initial=True, normalization="zscore", features=["x"]))
+        return real(self, path, text)
+
+    monkeypatch.setattr(registry.Library, "_create", late)
+    assert mine.save({"library": tables[0]}, initial=True, normalization="zscore", features=["x"]) == "v2.0" and once == ["v1.0"]
+    assert [mine.load(spark, v)["library"].first()["x"] for v in ("v1.0", "v2.0")] == [1, 0]
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: registry.Library(str(tmp_path), spark).save({"library": tables[i % 2]}, initial=False, normalization="zscore", features=["x"], keep=99), range(6)))
+    assert sorted(made) == [f"v2.{i}" for i in range(1, 7)]
+    assert [c["seq"] for c in mine.commits()] == list(range(1, 9))
+    with pytest.raises(Exception, match="nothing"):
+        mine.save({"library": tables[0].select(F.raise_error(F.lit("nothing")))}, initial=False, normalization="zscore", features=["x"])
+    assert len(mine.commits()) == 8 and len(list(tmp_path.glob("library_*"))) == 8
 
 
 def test_session_store(spark):
