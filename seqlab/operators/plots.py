@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,8 +24,48 @@ def histogram(rows: DataFrame, value: str, *, bins: int = 30, by: Sequence[str]
     return met.withColumn("bin", at).groupBy(*by, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A prime below 2**31: products of two remainders are exact in 64 bits.
+PRIME = 2_147_483_647
+#: Where a uniform number in [0, PRIME) is a Poisson number of 0, 1, 2, ... with mean 1.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
+
+
+def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
+    """A Poisson number with mean 1 from a row's key (long) and a replicate's number: how often the replicate draws the row.
+
+    Rounds of squaring modulo a prime, in exact integers, so that any engine finds the same weights.
+    """
+    t = F.pmod(F.pmod(key, F.lit(PRIME)) * 48_271 + replicate * 69_621 + (seed * 40_692 + 11), F.lit(PRIME))
+    t = F.pmod(t * t + replicate * 16_807 + 7, F.lit(PRIME))
+    t = F.pmod(t * (t + 30_269), F.lit(PRIME))
+    return sum((F.when(t >= cut, 1).otherwise(0) for cut in POISSON), F.lit(0))
+
+
+def bootstrap_bands(rows: DataFrame, values: Sequence[str], by: Sequence[str], *, key: str, replicates: int = 250, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Mean of each value in each group with the band of its bootstrapped means: by, metric, n, mean, low, high.
+
+    A Poisson bootstrap: a row's weight in a replicate is a number drawn from its
+    ``key`` (a distinct long) and the replicate's, so that no sample is drawn and
+    weights do not depend on how rows are stored. All replicates are sums of one
+    aggregation, combined in each task to a row per group and replicate before
+    the shuffle. The band is the interval of quantiles that holds ``level`` of a
+    group's replicates. Nulls don't count; a group without a value has null for
+    mean and band.
+    """
+    by, place = list(by), {v: f"_v{i}" for i, v in enumerate(values)}
+    drawn = rows.select(*by, F.col(key).cast("long").alias("_k"), *(F.col(v).cast("double").alias(c) for v, c in place.items())).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # replicate 0 has every row once: the plain mean
+    drawn = drawn.withColumn("_w", F.when(F.col("_r") == 0, 1).otherwise(poisson_weight(F.col("_k"), F.col("_r"), seed)).cast("long"))
+    sums = [f for c in place.values() for f in (F.sum(F.when(F.col(c).isNotNull(), F.col("_w"))).alias(f"n{c}"), F.sum(F.col(c) * F.col("_w")).alias(f"s{c}"))]
+    per = drawn.groupBy(*by, "_r").agg(*sums)
+    long = per.select(*by, "_r", F.inline(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(f"n{c}").alias("_n"), F.try_divide(F.col(f"s{c}"), F.col(f"n{c}")).alias("_m")) for v, c in place.items()))))
+    tails = F.percentile(F.when(F.col("_r") > 0, F.col("_m")), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    out = long.groupBy(*by, "metric").agg(F.coalesce(F.max(F.when(F.col("_r") == 0, F.col("_n"))), F.lit(0)).alias("n"), F.max(F.when(F.col("_r") == 0, F.col("_m"))).alias("mean"), tails.alias("_q"))
+    return out.select(*by, "metric", "n", "mean", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
+
+
 def mean_with_error(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Mean with a 95 % normal interval, in place of a bootstrap."""
+    """Mean with a 95 % normal interval, without a bootstrap."""
     s = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n"))
     half = 1.96 * F.col("_s") / F.sqrt("n")
     return s.select(*by, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))

@@ -98,11 +98,21 @@ def agreement(pairs: DataFrame, *, a: str = "label", b: str = "flipped", session
     return per.agg((100 * F.avg("_share")).alias("agreement"), F.count(F.lit(1)).alias("n_sessions"))
 
 
+def session_differences(a: DataFrame, b: DataFrame, session: str = "uuid") -> DataFrame:
+    """(session, in_a, in_b) of the sessions that only one of the tables holds; none if the sets are equal.
+
+    One aggregation of both tables, combined to a row per session before its
+    shuffle; nothing is joined, and equality is exact.
+    """
+    sides = a.select(session, F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).unionAll(b.select(session, F.lit(False), F.lit(True)))
+    return sides.groupBy(session).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")).where("in_a <> in_b")
+
+
 def check_same_sessions(a: DataFrame, b: DataFrame, session: str = "uuid") -> None:
-    """Raises unless both tables hold the same sessions."""
-    x, y = a.select(session).distinct(), b.select(session).distinct()
-    if not x.join(y, session, "left_anti").isEmpty() or not y.join(x, session, "left_anti").isEmpty():
-        raise ValueError("the two tables hold different sessions")
+    """Raises unless both tables hold the same sessions (J7, U8), and names one that only one of them holds."""
+    off = session_differences(a, b, session).first()
+    if off is not None:
+        raise ValueError(f"the two tables hold different sessions: {off[session]} is in the {'first' if off['in_a'] else 'second'} alone")
 
 
 def check_same_frames(a: DataFrame, b: DataFrame, session: str = "uuid") -> None:

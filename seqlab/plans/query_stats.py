@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, normalize, quantiles, similarity, treatments, usage
+from seqlab.operators import cluster, normalize, plots, quantiles, similarity, treatments, usage
 from seqlab.plans import registry
 from seqlab.plans.register import query, table
 
@@ -133,6 +133,30 @@ def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.exact_medians(long, ["l_returnflag", "column_name"], "x")
 
 
+_POISSON_SQL = " + ".join(f"CAST(t >= {cut} AS INT)" for cut in plots.POISSON)
+
+
+@query(
+    f"""WITH d AS (SELECT l_returnflag, l_quantity, l_discount, r, (l_orderkey * 8 + l_linenumber) % {plots.PRIME} AS k FROM lineitem, range(0, 101) AS x(r)),
+a AS (SELECT *, (k * 48271 + r * 69621 + 11) % {plots.PRIME} AS t FROM d), b AS (SELECT * REPLACE ((t * t + r * 16807 + 7) % {plots.PRIME} AS t) FROM a), c AS (SELECT * REPLACE ((t * (t + 30269)) % {plots.PRIME} AS t) FROM b),
+w AS (SELECT l_returnflag, r, unnest(['quantity', 'discount']) AS metric, unnest([CAST(l_quantity AS DOUBLE), CAST(round(100 * l_discount) AS DOUBLE)]) AS x, CASE WHEN r = 0 THEN 1 ELSE {_POISSON_SQL} END AS w FROM c),
+m AS (SELECT l_returnflag, metric, r, CAST(sum(w) AS BIGINT) AS n, sum(x * w) / sum(w) AS m FROM w GROUP BY ALL)
+SELECT l_returnflag, metric, max(n) FILTER (r = 0) AS n, round(max(m) FILTER (r = 0), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (r > 0), 6) AS high FROM m GROUP BY ALL"""
+)
+def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of 100 Poisson replicates, whose weights SQL computes too."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").alias("quantity"), F.round(100 * F.col("l_discount")).alias("discount"))
+    out = plots.bootstrap_bands(rows, ["quantity", "discount"], ["l_returnflag"], key="k", replicates=100)
+    return out.select("l_returnflag", "metric", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+@query("SELECT coalesce(a.k, b.k) AS uuid, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def session_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders against customers in credit, as two sets of sessions."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uuid"))
+    return similarity.session_differences(orders, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("uuid")))
+
+
 @query("SELECT 'size' AS column_name, CAST(count(*) FILTER (p_size % 7 = 0) AS BIGINT) AS n_missing, count(*) AS n_rows FROM part UNION ALL SELECT 'price', 0, count(*) FROM part")
 def dropna_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _features(spark, sf_dir).withColumn("size", F.when(F.col("size") % 7 != 0, F.col("size")))

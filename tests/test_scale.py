@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, lloyd, normalize, quantiles, silhouettes, similarity
+from seqlab.operators import cluster, lloyd, normalize, plots, quantiles, silhouettes, similarity
 
 
 def plan_of(df):
@@ -198,3 +198,33 @@ def test_fifty_thousand_centroids(spark):
     _, _, report = lloyd.pruned_lloyd(points, centroids, rounds=1, max_bytes=1 << 20)  # four passes
     last = report.orderBy("round").collect()[-1]
     assert last["n_points"] == 320 and last["share"] < 1
+
+
+def test_poisson_bootstrap(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 2, size=400)
+    rows = spark.createDataFrame([(i, "ab"[i % 2], float(v), None if i % 2 else float(i), 0) for i, v in enumerate(x)] + [(900, None, 1.0, None, 0), (901, "c", None, None, 0)], "id long, g string, x double, y double, _r int")
+    found = {(r["g"], r["metric"]): r for r in plots.bootstrap_bands(rows, ["x", "y"], ["g"], key="id", replicates=400).collect()}
+    assert set(found) == {(g, m) for g in ("a", "b", "c", None) for m in "xy"}
+    for i, g in enumerate("ab"):
+        mine, r = x[i::2], found[g, "x"]
+        half = 1.96 * mine.std() / math.sqrt(len(mine))
+        assert r["n"] == 200 and r["mean"] == pytest.approx(mine.mean())
+        assert r["mean"] - r["low"] == pytest.approx(half, rel=0.25) and r["high"] - r["mean"] == pytest.approx(half, rel=0.25)
+    assert found["a", "y"]["n"] == 200 and [found["b", "y"][c] for c in ("n", "mean", "low", "high")] == [0, None, None, None]
+    assert found["c", "x"]["mean"] is None and found[None, "x"]["low"] in (1.0, None)
+    again = {(r["g"], r["metric"]): r for r in plots.bootstrap_bands(rows.repartition(7), ["x", "y"], ["g"], key="id", replicates=400).collect()}
+    assert all(again[k]["low"] == pytest.approx(r["low"]) if r["low"] is not None else again[k]["low"] is None for k, r in found.items())
+    w = spark.range(20_000).select(plots.poisson_weight(F.col("id"), F.lit(5)).alias("w"), plots.poisson_weight(F.col("id"), F.lit(6)).alias("v")).toPandas()
+    assert abs(w["w"].mean() - 1) < 0.03 and abs(w["w"].var() - 1) < 0.05 and abs(w["w"].corr(w["v"])) < 0.03
+    assert abs((w["w"] == 0).mean() - math.exp(-1)) < 0.01
+
+
+def test_session_sets(spark):
+    made = lambda v: spark.createDataFrame([(x,) for x in v], "uuid string")
+    a, b = made(["x", "y", "y", None]), made(["y", None, "x", "x"])
+    assert similarity.session_differences(a, b).collect() == [] and "Join" not in plan_of(similarity.session_differences(a, b))
+    similarity.check_same_sessions(a, b)
+    with pytest.raises(ValueError, match="z is in the second"):
+        similarity.check_same_sessions(a, made(["x", "y", "z", None]))
+    assert [tuple(r) for r in similarity.session_differences(a, made([])).orderBy("uuid").collect()] == [(None, True, False), ("x", True, False), ("y", True, False)]
