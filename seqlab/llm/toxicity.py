@@ -16,6 +16,7 @@ is learned, a clause of a worse kind never scores below one of a milder kind.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -32,14 +33,18 @@ from seqlab.llm.common import _TO_SPACE, ascii_words, broadcast_if_small, saved
 SCORES = "doc_id long, score double, predicted int, matches array<int>"
 
 #: Words of the grammar's classes, in the corpus's languages.
-INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "dumb", "ugly", "vermin", "idiota", "imbécil", "crétin", "abruti", "trottel", "dummkopf")
+INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "worthless", "pathetic", "disgusting", "imbecile", "dumbass", "vermin", "lowlife", "scumbag", "jerk", "idiota", "idiotas", "imbécil", "estúpido", "crétin", "abruti", "imbécile", "connard", "trottel", "dummkopf", "idioten", "arschloch")
+#: Words that are insults only where they are aimed at someone, or stand in an insult phrase.
+MILD = ("trash", "clown", "clowns", "loser", "losers", "dumb", "ugly", "garbage", "pig", "pigs", "rat", "snake", "basura", "payaso", "feo", "ordure", "clochard", "schwein", "müll", "hässlich")
 INTENSIFIERS = ("very", "such", "so", "total", "complete", "utter", "absolute", "damn", "sehr", "völlig", "wirklich", "très", "vraiment", "complètement", "muy", "tan", "totalmente")
-HARM = ("kill", "hurt", "destroy", "beat", "stab", "shoot", "töten", "schlagen", "tuer", "frapper", "matar", "golpear")
+HARM = ("kill", "hurt", "destroy", "beat", "stab", "shoot", "strangle", "murder", "smash", "punch", "töten", "schlagen", "umbringen", "tuer", "frapper", "matar", "golpear")
+#: Words that open a noun phrase: what harm is done to then is a thing, not the target that follows.
+DETERMINERS = ("the", "a", "an", "this", "that", "my", "our", "its", "some", "any", "each", "every", "der", "die", "das", "den", "dem", "ein", "eine", "einen", "le", "la", "les", "un", "une", "des", "el", "los", "las", "una")
 TARGETS = ("you", "your", "youre", "he", "she", "they", "them", "him", "her", "these", "those", "du", "ihr", "dich", "euch", "er", "tu", "vous", "toi", "il", "ils", "tú", "usted", "ustedes", "ellos")
-NEGATIONS = ("not", "no", "never", "isnt", "arent", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca")
+NEGATIONS = ("not", "no", "never", "nor", "neither", "isnt", "arent", "aint", "wasnt", "werent", "dont", "doesnt", "didnt", "cant", "couldnt", "wont", "wouldnt", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca")
 REPORTING = ("said", "says", "called", "calls", "quoted", "wrote", "claimed", "sagte", "nannte", "dit", "appelé", "dijo", "llamó")
 
-OTHER, INSULT, MAYBE, INTENSE, HARMING, TARGET, NEGATION, REPORT = ".", "I", "?", "V", "H", "T", "N", "R"
+OTHER, INSULT, MAYBE, INTENSE, HARMING, TARGET, NEGATION, REPORT, SOFT, OPENS, END = ".", "I", "?", "V", "H", "T", "N", "R", "M", "D", "$"
 
 #: Kinds of clauses from mild to worst: negated, reported, isolated, strong, aimed, threat.
 KINDS = "irISJX"
@@ -56,7 +61,16 @@ NEGATED, NEAR = 3, 4
 #: Bytes that end a clause; other separators stand between words.
 _ENDS = b".!?;:,()[]{}\"\n\r"
 _CLAUSES = bytes(10 if b in _ENDS else x for b, x in enumerate(_TO_SPACE))
-_FIXED = {w: s for s, ws in ((INTENSE, INTENSIFIERS), (HARMING, HARM), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING)) for w in ws}
+_FIXED = {w: s for s, ws in ((INTENSE, INTENSIFIERS), (HARMING, HARM), (OPENS, DETERMINERS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING)) for w in ws}
+_MILD = frozenset(MILD)
+#: An apostrophe within a negation, which is one word.
+_CONTRACTED = re.compile("n(?:'|\u2019)t(?![a-z0-9])".encode())
+
+
+def _lower(text: str) -> bytes:
+    """A-Z lower-cased; "isn't" is the word isnt."""
+    lower = text.encode().lower()
+    return _CONTRACTED.sub(b"nt", lower) if b"n'" in lower or b"n\xe2\x80\x99" in lower else lower
 
 
 class Transducer:
@@ -77,42 +91,53 @@ class Transducer:
 
 
 def _negation() -> Transducer:
-    """An insult or harm soon after a negation is negated (i; harm falls away)."""
+    """An insult or harm soon after a negation is negated (i; harm and mild words fall away)."""
 
     def step(left, x):
         if x == NEGATION:
             return NEGATED, OTHER
-        out = {INSULT: "i", HARMING: OTHER}.get(x, x) if left else x
+        out = {INSULT: "i", HARMING: OTHER, SOFT: OTHER}.get(x, x) if left else x
         return max(left - 1, 0), out
 
     return Transducer(0, step)
 
 
 def _reported() -> Transducer:
-    """After a word of reporting, insults of the clause are reported ones and harm falls away; a negated one stays negated."""
-    return Transducer(False, lambda on, x: (True, OTHER) if x == REPORT else (on, {INSULT: "r", HARMING: OTHER}.get(x, x) if on else x))
+    """After a word of reporting, insults of the clause are reported ones, harm and mild words fall away; a negated one stays negated."""
+    return Transducer(False, lambda on, x: (True, OTHER) if x == REPORT else (on, {INSULT: "r", HARMING: OTHER, SOFT: OTHER}.get(x, x) if on else x))
 
 
 def _threat() -> Transducer:
-    """Harm with a target soon after it is a threat (X)."""
+    """The frame of a verb of harm: harm, then a target soon after it as its object, is a threat (X).
+
+    A noun phrase that opens before the target is the object instead ("kill the
+    process before you leave"), and one right after the target makes it the
+    receiver ("shoot him an email"); neither is a threat. X is put out in the
+    place of what follows the target, or of the clause's end.
+    """
+    MET = -1
 
     def step(left, x):
+        if left == MET:
+            return (0, x) if x == OPENS else (NEAR if x == HARMING else 0, "X")
         if x == HARMING:
             return NEAR, OTHER
+        if x == OPENS:
+            return 0, x
         if x == TARGET and left:
-            return 0, "X"
+            return MET, x
         return max(left - 1, 0), x
 
     return Transducer(0, step)
 
 
 def _insult() -> Transducer:
-    """An insult right after an intensifier or another insult makes a strong insult phrase (S)."""
-    return Transducer(False, lambda strong, x: (x in (INTENSE, INSULT), "S" if strong and x == INSULT else OTHER if x == INTENSE else x))
+    """An insult or a mild word right after an intensifier or another insult, or the determiner that follows it, makes a strong insult phrase (S)."""
+    return Transducer(False, lambda strong, x: (x in (INTENSE, INSULT) or (strong and x == OPENS), "S" if strong and x in (INSULT, SOFT) else OTHER if x == INTENSE else x))
 
 
 def _target() -> Transducer:
-    """An insult with a target soon before or after it is aimed (J, where the later of the two stands)."""
+    """An insult with a target soon before or after it is aimed (J, where the later of the two stands); a mild word only with one before it, and alone it is nothing."""
 
     def step(state, x):
         kind, left = state
@@ -120,7 +145,10 @@ def _target() -> Transducer:
             return (TARGET, NEAR), "J" if kind == INSULT and left else OTHER
         if x in (INSULT, "S"):
             return ((TARGET if kind == TARGET and left else INSULT), NEAR), "J" if kind == TARGET and left else x
-        return (kind, left - 1) if left > 1 else (OTHER, 0), x
+        after = (kind, left - 1) if left > 1 else (OTHER, 0)
+        if x == SOFT:
+            return after, "J" if kind == TARGET and left else OTHER
+        return after, x
 
     return Transducer((OTHER, 0), step)
 
@@ -135,11 +163,11 @@ class Grammar:
     def outputs(self, symbols: Iterable[str]) -> list[str]:
         """What is put out for a clause, without OTHER."""
         state, table, out = self.start, self._table, []
-        for x in symbols:
+        for x in (*symbols, END):
             if (state, x) not in table:
                 table[state, x] = self._step(state, x)
             state, y = table[state, x]
-            if y != OTHER:
+            if y not in (OTHER, END):
                 out.append(y)
         return out
 
@@ -170,6 +198,8 @@ class Model:
         stems = _stems(word)
         if word in self.words or any(x in self.stems for x in stems):
             return INSULT
+        if word in _MILD:
+            return SOFT
         return HARMING if word in self.harm else TARGET if word in self.targets else next((MAYBE + x for x in stems if x in self.repeated), OTHER)
 
     def clause_weights(self) -> dict[str, float]:
@@ -208,7 +238,7 @@ class _Symbols(dict):
         """The symbols of a text's words, as a function; None if there is neither insult nor harm."""
         there = Counter(map(self.__getitem__, words))
         maybe = {x: INSULT if n > 1 else OTHER for x, n in there.items() if x[0] == MAYBE}
-        if INSULT not in there and HARMING not in there and INSULT not in maybe.values():
+        if INSULT not in there and HARMING not in there and SOFT not in there and INSULT not in maybe.values():
             return None
         return (lambda w: maybe.get(self[w]) or self[w]) if maybe else self.__getitem__
 
@@ -227,12 +257,12 @@ class Matcher:
         """How many clauses the text has of each of KINDS."""
         found = [0] * len(KINDS)
         if text:
-            lower = text.encode().lower()
+            lower = _lower(text)
             of = self.symbols.of_text(lower.translate(_TO_SPACE).split())
             if of:
                 for clause in lower.translate(_CLAUSES).split(b"\n"):
                     symbols = list(map(of, clause.split()))
-                    if INSULT in symbols or HARMING in symbols:
+                    if INSULT in symbols or HARMING in symbols or SOFT in symbols:
                         kind = self.grammar.kind(symbols)
                         if kind >= 0:
                             found[kind] += 1
@@ -245,7 +275,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _clauses_of(text: str) -> list[list[str]]:
-    return [c.split() for c in text.encode().lower().translate(_CLAUSES).decode().split("\n")]
+    return [c.split() for c in _lower(text).translate(_CLAUSES).decode().split("\n")]
 
 
 def _features(text: str) -> set[str]:
@@ -295,7 +325,7 @@ def _count_near(model: Model, most: int = 200_000):
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                symbol = symbols.of_text(ascii_words(text)) or symbols.__getitem__
+                symbol = symbols.of_text(_lower(text).translate(_TO_SPACE).split()) or symbols.__getitem__
                 for clause in _clauses_of(text):
                     of = [symbol(w.encode()) for w in clause]
                     places = {i for at, s in enumerate(of) if s == INSULT for i in range(at - NEAR, at + NEAR + 1)}

@@ -15,7 +15,7 @@ END = re.compile(r"[.!?;:,()\[\]{}\"\n\r]")
 
 
 def lower(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.sub("n['\u2019]t(?![a-z0-9])", "nt", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
 def brute_kind(words, is_insult, model):
@@ -27,11 +27,22 @@ def brute_kind(words, is_insult, model):
     insults = [i for i, w in enumerate(words) if is_insult(w)]
     plain = [i for i in insults if not negated(i) and not reported(i)]
     harm = [i for i in at(toxicity.HARM + tuple(model.harm)) if not negated(i) and not reported(i)]
-    if any(0 < j - i <= 4 for i in harm for j in targets):
+    opens = at(toxicity.DETERMINERS)
+    free = lambda i, j: not any(i < k < j for k in (*opens, *targets)) and j + 1 not in opens
+    if any(0 < j - i <= 4 and free(i, j) for i in harm for j in targets):
         return "X"
-    if any(abs(i - j) <= 4 for i in plain for j in targets):
+
+    def strong(i):
+        i -= 1
+        while i in opens:
+            i -= 1
+        return i in plain or i in intense
+
+    soft = [i for i in at(toxicity.MILD) if not negated(i) and not reported(i)]
+    loud = [i for i in soft if strong(i)]
+    if any(abs(i - j) <= 4 for i in plain + loud for j in targets) or any(0 < i - j <= 4 for i in soft for j in targets):
         return "J"
-    if any(i - 1 in plain or i - 1 in intense for i in plain):
+    if loud or any(map(strong, plain)):
         return "S"
     if plain:
         return "I"
@@ -46,7 +57,7 @@ def brute_score(text, model):
     everywhere = WORD.findall(text)
 
     def is_insult(w):
-        if w in toxicity.INTENSIFIERS + toxicity.HARM + toxicity.TARGETS + toxicity.NEGATIONS + toxicity.REPORTING:
+        if w in toxicity.INTENSIFIERS + toxicity.HARM + toxicity.TARGETS + toxicity.NEGATIONS + toxicity.REPORTING + toxicity.DETERMINERS:
             return False
         if w in model.words or any(w.startswith(s) for s in model.stems):
             return True
@@ -62,7 +73,7 @@ def brute_score(text, model):
 
 def grammar_texts(n, seed):
     rng = random.Random(seed)
-    words = [*toxicity.INSULTS[:3], *toxicity.HARM[:2], *toxicity.TARGETS[:3], *toxicity.NEGATIONS[:2], *toxicity.REPORTING[:2], *toxicity.INTENSIFIERS[:2], "foulx", "foully", "smite", "yon", *"abcdefgh", ".", ",", "\n"]
+    words = [*toxicity.INSULTS[:3], *toxicity.HARM[:2], *toxicity.TARGETS[:3], *toxicity.NEGATIONS[:2], *toxicity.REPORTING[:2], *toxicity.INTENSIFIERS[:2], *toxicity.MILD[:2], *toxicity.DETERMINERS[:2], "isn't", "don\u2019t", "foulx", "foully", "smite", "yon", *"abcdefgh", ".", ",", "\n"]
     return ["".join(rng.choice(words) + rng.choice([" ", "  ", "-"]) for _ in range(rng.randint(0, 40))) for _ in range(n)]
 
 
@@ -91,6 +102,16 @@ def test_scores_of_documents_by_brute_force(spark):
         assert r["matches"] == clauses and r["score"] == pytest.approx(score)
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("It isn't an idiot", "i"), ("you aren\u2019t stupid", "i"), ("take out the trash", ""), ("the clown performed", ""), ("kill the process before you leave", ""),
+    ("shoot him an email", ""), ("I will kill you", "X"), ("I'll beat them all", "X"), ("you are a clown", "J"), ("such a loser", "S"), ("an idiot", "I"), ("he called you an idiot", "r"),
+])
+def test_frames_of_verbs_and_mild_words(text, kind):
+    clauses = toxicity.Matcher(toxicity.Model()).clauses(text)
+    assert "".join(k for k, n in zip(toxicity.KINDS, clauses, strict=True) if n) == kind
+    assert (toxicity.Model().score(clauses) >= 0.3) == (kind in tuple("XJSI"))
+
+
 def scores(model, *texts):
     m = toxicity.Matcher(model)
     return [model.score(m.clauses(t)) for t in texts]
