@@ -41,6 +41,9 @@ ENTRY = struct.Struct("<III")
 
 MANIFEST = "file string, first_doc long, last_doc long, n_docs long, n_ids long"
 
+#: Bytes of text for which there is a file, and those that are worth a task of their own while there are fewer tasks than cores.
+FILE_BYTES, TASK_BYTES = 1 << 28, 1 << 23
+
 #: About as many documents are asked of a file at once.
 ASKED = 10_000
 READ = "file string, seq long, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -159,6 +162,12 @@ def _writer(folder: str, path: str, end_id: int | None, frame_bytes: int):
     return write
 
 
+def files_for(docs: DataFrame) -> int:
+    """A file for FILE_BYTES of text; more, down to TASK_BYTES each, while that keeps idle cores busy."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // FILE_BYTES), min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 def write_token_files(docs: DataFrame, folder: str, *, tokenizer_path: str | None = None, end_id: int | None = 2, frame_bytes: int = 1 << 18) -> DataFrame:
     """Encode whole texts, write them in ascending doc_id order, return the manifest.
 
@@ -172,11 +181,12 @@ def write_token_files(docs: DataFrame, folder: str, *, tokenizer_path: str | Non
     two neighbours. An empty table gives an empty manifest.
 
     Plan: one range shuffle of the texts on doc_id; each task encodes and
-    writes its range as a file of its own.
+    writes its range as a file of its own. The number of files follows the bytes
+    of text (``files_for``), whatever the number of shuffle partitions is.
     """
     spark = docs.sparkSession
     folder = qualified(spark, folder)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = files_for(docs)
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     manifest = ordered.mapInArrow(_writer(folder, tokenizer_path or default_path(), end_id, frame_bytes), MANIFEST)
     return saved(manifest, "token-manifest")

@@ -189,15 +189,20 @@ def _index_writer(folder: str, block_lines: int):
     return write
 
 
+#: Captures for which there is an index file.
+INDEX_CAPTURES = 100_000
+
+
 def write_index(captures: DataFrame, folder: str, *, block_lines: int = 1000) -> DataFrame:
     """Sort captures by URL key into compressed blocks; the sparse directory, as a written table.
 
     The directory has a row per block: first_key, last_key, index_file, offset,
     length, n_captures. Captures are range-partitioned by (url_key, page_id), so
-    that a host or a URL with very many captures is split.
+    that a host or a URL with very many captures is split; there is an index
+    file for INDEX_CAPTURES of them, whatever the number of shuffle partitions is.
     """
     folder = qualified(captures.sparkSession, folder)
-    parts = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(1, -(-captures.count() // INDEX_CAPTURES))
     ordered = captures.repartitionByRange(parts, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return saved(ordered.mapInArrow(_index_writer(folder, block_lines), DIRECTORY), "capture-directory")
 

@@ -387,3 +387,19 @@ def test_line_dedup_query_and_stage_count_distinct_documents(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_dropped"]) for r in got) == [(0, 0), (0, 0), (0, 0), (1, 0), (1, 0), (10, 1), (11, 1), (12, 1), (13, 1), (14, 0)]
     stage = corpus_pipeline.dedup_lines(spark, table, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in stage if r["text"]) == [(0, few)] * 3 + [(1, few)] * 2 + [(14, many)]
+
+
+def test_files_follow_the_bytes_of_text(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 20).alias("text"))
+    monkeypatch.setattr(token_files, "TASK_BYTES", 1 << 30)  # one file keeps all cores busy
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for size, least, most in ((1 << 28, 1, 1), (400 * 220 // 8, 6, 8)):
+                monkeypatch.setattr(token_files, "FILE_BYTES", size)
+                manifest = token_files.write_token_files(docs, f"{tmp_path}/{n}-{size}")
+                assert least <= manifest.count() <= most
+                assert manifest.agg(F.sum("n_docs")).first()[0] == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
