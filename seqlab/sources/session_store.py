@@ -1,21 +1,17 @@
 """Session data in long form: listing, extraction and export of scalars, flips (IO7-IO13, X10).
 
 Canonical tables: frames(uuid, frame_seq, h, w, px array<short>), scalars(uuid,
-name, frame_seq, ts, value), pcs(uuid, frame_seq, pc). HDF5 files are read into
-them by ``read_hdf5``, ``read_hdf5_frames`` and ``read_hdf5_scores`` where h5py
-is installed.
+name, frame_seq, ts, value), pcs(uuid, frame_seq, pc). Session files are read
+into them by ``read_hdf5`` and its kin, through ``session_files``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.operators.intervals import split_by_ranges, split_name
+from seqlab.sources.session_files import read_sessions
 
 PREFIX = "scalars/"
 
@@ -94,85 +90,24 @@ def split_sessions(tables: dict[str, DataFrame], ranges: DataFrame, *, key: str
     return out
 
 
-def _uuid(f: Any, path: str) -> str:
-    """The session's name: the file's own, else its path."""
-    raw = f["uuid"][()] if "uuid" in f else path
-    return raw.decode() if isinstance(raw, bytes) else str(raw)
-
-
-def scalar_rows(f: Any, path: str) -> Iterator[pd.DataFrame]:
-    """(uuid, name, frame_seq, ts, value) of each scalar of an open session file."""
-    ts = f["timestamps"][()] if "timestamps" in f else None
-    for name in f.get("scalars", {}):
-        values = f["scalars"][name][()]
-        places = range(len(values))
-        yield pd.DataFrame({"uuid": _uuid(f, path), "name": f"{PREFIX}{name}", "frame_seq": places, "ts": None if ts is None else pd.Series(ts).reindex(places), "value": values.astype(float)})
-
-
-def frame_rows(f: Any, path: str, rows: int = 256) -> Iterator[pd.DataFrame]:
-    """(uuid, frame_seq, h, w, px) of an open session file's frames, read some rows at a time."""
-    frames = f["frames"]
-    n, h, w = frames.shape
-    for start in range(0, n, rows):
-        part = frames[start : start + rows]
-        yield pd.DataFrame({"uuid": _uuid(f, path), "frame_seq": range(start, start + len(part)), "h": h, "w": w, "px": list(part.reshape(len(part), -1).astype("int16"))})
-
-
-def score_rows(f: Any, path: str, skip: int = 3, components: int = 10, rows: int = 65536) -> Iterator[pd.DataFrame]:
-    """(uuid, frame_seq, pc) of each session of an open score file, from frame ``skip`` on and of the first components."""
-    for uuid in f["scores"]:
-        scores = f["scores"][uuid]
-        for start in range(skip, len(scores), rows):
-            part = scores[start : start + rows, :components]
-            yield pd.DataFrame({"uuid": uuid, "frame_seq": range(start, start + len(part)), "pc": list(part.astype(float))})
-
-
-def tree_rows(f: Any, path: str, prefix: str = "") -> Iterator[pd.DataFrame]:
-    """(path, name, shape, dtype) of every dataset of an open file, groups before names."""
-    for name, found in f.items():
-        if hasattr(found, "shape"):
-            yield pd.DataFrame({"path": [path], "name": [f"{prefix}{name}"], "shape": [list(found.shape)], "dtype": [str(found.dtype)]})
-        else:
-            yield from tree_rows(found, path, f"{prefix}{name}/")
-
-
-def _per_file(spark: SparkSession, pattern: str, read: Callable[..., Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """What ``read(open file, path)`` gives of each file.
-
-    Needs h5py on the workers and files on a path that they can open. A file is
-    read by one task, a part at a time.
-    """
-    files = spark.read.format("binaryFile").load(pattern).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import h5py
-
-        for batch in batches:
-            for path in batch["path"]:
-                with h5py.File(path, "r") as f:
-                    yield from read(f, path)
-
-    return files.mapInPandas(rows, schema)
-
-
 def read_hdf5(spark: SparkSession, pattern: str) -> DataFrame:
-    """Scalars of HDF5 session files (IO7)."""
-    return _per_file(spark, pattern, scalar_rows, "uuid string, name string, frame_seq long, ts double, value double")
+    """Scalars of session files (IO7)."""
+    return read_sessions(spark, pattern, "scalars")
 
 
 def read_hdf5_frames(spark: SparkSession, pattern: str) -> DataFrame:
-    """Frames of HDF5 session files (IO7)."""
-    return _per_file(spark, pattern, frame_rows, "uuid string, frame_seq long, h int, w int, px array<short>")
+    """Frames of session files (IO7)."""
+    return read_sessions(spark, pattern, "frames")
 
 
 def read_hdf5_scores(spark: SparkSession, pattern: str) -> DataFrame:
-    """Scores of HDF5 score files, without the first three frames and beyond ten components, as the programs take them (IO7)."""
-    return _per_file(spark, pattern, score_rows, "uuid string, frame_seq long, pc array<double>")
+    """Scores of score files, without the first three frames and beyond ten components, as the programs take them (IO7)."""
+    return read_sessions(spark, pattern, "scores")
 
 
 def read_hdf5_tree(spark: SparkSession, pattern: str) -> DataFrame:
-    """Name, shape and type of every dataset of HDF5 files (IO8)."""
-    return _per_file(spark, pattern, tree_rows, "path string, name string, shape array<long>, dtype string")
+    """Name, shape and type of every dataset of session files (IO8)."""
+    return read_sessions(spark, pattern, "tree")
 
 
 def retire_source(path: str, sidecar: str | None = None, splits: int = 0) -> list[str]:

@@ -450,21 +450,6 @@ def test_datasets_are_listed_without_a_name(spark):
     assert {r["name"]: r["n_values"] for r in session_store.extract(s).collect()} == {"scalars/h": 3, "other": 1}
 
 
-def test_rows_of_open_files():
-    """Arrays stand for the datasets of an open file, dicts for its groups."""
-    px = np.arange(3 * 2 * 2).reshape(3, 2, 2)
-    f = {"uuid": np.array(b"u"), "frames": px, "timestamps": np.arange(2.0), "scalars": {"h": np.array([1, 2, 3])}}
-    scalars = pd.concat(session_store.scalar_rows(f, "p"))
-    assert scalars["value"].tolist() == [1.0, 2.0, 3.0] and scalars["ts"].isna().tolist() == [False, False, True] and set(scalars["uuid"]) == {"u"}
-    frames = pd.concat(session_store.frame_rows(f, "p", rows=2))
-    assert frames["frame_seq"].tolist() == [0, 1, 2] and [x.tolist() for x in frames["px"]] == px.reshape(3, 4).tolist()
-    scores = np.arange(6 * 12.0).reshape(6, 12)
-    found = pd.concat(session_store.score_rows({"scores": {"u": scores, "short": scores[:3]}}, "p", rows=2))
-    assert found["frame_seq"].tolist() == [3, 4, 5] and np.array_equal(np.stack(found["pc"]), scores[3:, :10])
-    tree = pd.concat(session_store.tree_rows(f, "p"))
-    assert dict(zip(tree["name"], tree["shape"])) == {"uuid": [], "frames": [3, 2, 2], "timestamps": [2], "scalars/h": [3]}
-
-
 def test_reports_and_experiments(spark, tmp_path):
     rows = spark.createDataFrame([(10, 0.25), (2, 1 / 3)], "label int, jaccard double")
     tables.write_report(rows, f"{tmp_path}/report", label="label", value="jaccard", title="Similarity:")
