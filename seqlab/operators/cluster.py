@@ -206,7 +206,7 @@ def split_quality(rows: DataFrame, *, quality: str = "syllable_quality", low: st
 
 
 def apply_classifiers(rows: DataFrame, pipelines: dict[str, object], train_columns: Sequence[str]) -> DataFrame:
-    """Adds a prediction column for each fitted Spark ML pipeline (C9). Raises if training columns are missing."""
+    """Adds a prediction column for each fitted Spark ML pipeline, or bundle of tables (``forests.TreeBundle``) (C9). Raises if training columns are missing."""
     from seqlab.operators.normalize import missing_columns
 
     if lacking := missing_columns(rows, train_columns):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, normalize, plots, quantiles, similarity, treatments, usage
+from seqlab.operators import cluster, forests, normalize, plots, quantiles, similarity, treatments, usage
 from seqlab.plans import registry
 from seqlab.plans.register import query, table
 
@@ -211,6 +211,26 @@ def version_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.retention(v)
 
 
+#: A small forest over the scaled size and price of a part: (tree, node, feature, threshold, left, right, weight, votes of three classes).
+SMALL_FOREST = (
+    (0, 0, 0, 0.0, 1, 2, 1.0, (1.0, 1.0, 1.0)), (0, 1, 1, -0.5, 3, 4, 1.0, (1.0, 1.0, 1.0)), (0, 2, -1, 0.0, -1, -1, 1.0, (1.0, 2.0, 7.0)), (0, 3, -1, 0.0, -1, -1, 1.0, (6.0, 2.0, 2.0)), (0, 4, -1, 0.0, -1, -1, 1.0, (1.0, 3.0, 0.0)),
+    (1, 0, 1, 0.25, 1, 2, 2.0, (1.0, 1.0, 1.0)), (1, 1, -1, 0.0, -1, -1, 2.0, (3.0, 1.0, 0.0)), (1, 2, -1, 0.0, -1, -1, 2.0, (0.0, 1.0, 1.0)),
+)
+
+
+@query(
+    """WITH x AS (SELECT p_partkey, (p_size - 25) / 10.0::DOUBLE AS a, (p_retailprice - 1200) / 400.0::DOUBLE AS b FROM part),
+v AS (SELECT p_partkey, CASE WHEN a <= 0 THEN CASE WHEN b <= -0.5 THEN [0.6, 0.2, 0.2] ELSE [0.25, 0.75, 0.0] END ELSE [0.1, 0.2, 0.7] END AS s, CASE WHEN b <= 0.25 THEN [1.5, 0.5, 0.0] ELSE [0.0, 1.0, 1.0] END AS t FROM x),
+w AS (SELECT p_partkey, unnest([0, 1, 2]) AS c, unnest(list_transform(range(1, 4), lambda i: CAST(s[i] AS DOUBLE) + CAST(t[i] AS DOUBLE))) AS v FROM v)
+SELECT p_partkey, CAST(arg_max(c, struct_pack(v := round(v, 9), c := -c)) AS DOUBLE) AS prediction, round(max(v) / 3, 6) AS probability FROM w GROUP BY p_partkey"""
+)
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts classified by a bundle of tables."""
+    bundle = forests.TreeBundle(spark.createDataFrame([(0, "p_size", 25.0, 10.0), (1, "p_retailprice", 1200.0, 400.0)], forests.INPUTS), spark.createDataFrame([(*r[:7], list(r[7])) for r in SMALL_FOREST], forests.NODES))
+    out = bundle.transform(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"))
+    return out.select("p_partkey", "prediction", F.round(F.array_max("probability"), 6).alias("probability"))
+
+
 @query(
     """WITH v AS (SELECT o_custkey AS library, o_orderkey % 5 <> 0 AS ok, o_orderkey % 11 AS major, o_orderkey % 23 AS minor FROM orders),
 n AS (SELECT library, max(struct_pack(a := major, b := minor)) FILTER (ok) AS m FROM v GROUP BY library)
