@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, features, intervals, long_intervals, long_sessions, normalize, resample, sequence, similarity, usage
+from seqlab.operators import cluster, features, intervals, long_intervals, long_sessions, normalize, resample, sequence, similarity, treatments, usage
 from seqlab.plans.registry import Library
+from seqlab.sources import session_files, session_store, tables
 
 log = logging.getLogger(__name__)
 
@@ -219,3 +220,29 @@ def add_to_library(spark: SparkSession, library: Library, version: str, experime
     out = out.drop("distance", "cluster_candidate").join(marks, "id", "left").withColumnRenamed("cluster", "library_label")
     saved = {"library": out, "components": tables["components"], "means": tables["means"], "centroids": centroids}
     return library.save(saved, initial=False, normalization=entry["normalization_type"], features=columns)
+
+
+def merge_treatments(file_map: DataFrame, dosing: DataFrame, index_path: str) -> DataFrame:
+    """Set the groups of an index document to the treatments of its files, keeping the first version as .bak; its files with ``changed``."""
+    document = tables.read_yaml(index_path)
+    files = treatments.index_to_rows(file_map.sparkSession, document)
+    out = treatments.update_groups(files, treatments.merge_schedules(file_map, dosing))
+    tables.write_yaml(treatments.rows_to_index(document, out), index_path)
+    return out
+
+
+def merge_treatments_from_index(spark: SparkSession, target_path: str, source_path: str) -> DataFrame:
+    """Set the groups of an index document to those of another one's files whose paths end in the same name; the target's files with ``found``."""
+    target, source = (tables.read_yaml(p) for p in (target_path, source_path))
+    met = treatments.groups_by_suffix(treatments.index_to_rows(spark, target), treatments.index_to_rows(spark, source))
+    out = met.withColumn("group", F.when(F.col("found"), F.col("source_group")).otherwise(F.col("group"))).drop("source_group")
+    tables.write_yaml(treatments.rows_to_index(target, out), target_path)
+    return out
+
+
+def extract_scalar(spark: SparkSession, pattern: str, name: str, path: str, *, kind: str = "csv") -> None:
+    """A named scalar of session files, with its time stamps, as one CSV or JSON document per session; only that dataset is read. Raises KeyError if no file has it."""
+    full = name if name.startswith(session_store.PREFIX) else f"{session_store.PREFIX}{name}"
+    rows = session_store.extract(session_files.read_sessions(spark, pattern, names=[full]), full)
+    stamps = F.coalesce(F.col("ts").cast("string"), F.lit(""))
+    session_files.export_sessions(rows.select("uuid", "frame_seq", stamps.alias("timestamp"), "value"), path, kind=kind)
