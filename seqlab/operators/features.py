@@ -51,15 +51,20 @@ def ar_eigenvalues(ar: DataFrame, *, label: str = "label", row: str = "row", val
     solve = {"eigh": np.linalg.eigvalsh, "eig": np.linalg.eigvals}[mode]
 
     def magnitudes(matrices: pd.Series) -> pd.Series:
-        def one(rows):
-            a = np.array([np.asarray(r["values"], float) for r in sorted(rows, key=lambda r: r["row"])])
-            n = a.shape[0]
-            companion = np.zeros((n * lags, n * lags))
-            companion[:n] = a[:, : n * lags]
-            companion[n:, : n * (lags - 1)] = np.eye(n * (lags - 1))
-            return np.sort(np.abs(solve(companion)))[::-1].tolist()
-
-        return matrices.map(one)
+        out: list = [None] * len(matrices)
+        by_size: dict[int, list[int]] = {}
+        for i, rows in enumerate(matrices):
+            by_size.setdefault(len(rows), []).append(i)
+        for n, places in by_size.items():  # matrices of one size are solved together
+            stacked = np.zeros((len(places), n * lags, n * lags))
+            for k, i in enumerate(places):
+                for j, r in enumerate(sorted(matrices.iloc[i], key=lambda r: r["row"])):
+                    stacked[k, j] = r["values"][: n * lags]
+            stacked[:, n:, : n * (lags - 1)] = np.eye(n * (lags - 1))
+            found = np.sort(np.abs(solve(stacked)), axis=1)[:, ::-1]
+            for i, x in zip(places, found.tolist(), strict=True):
+                out[i] = x
+        return pd.Series(out)
 
     udf = F.pandas_udf(magnitudes, "array<double>")
     gathered = ar.groupBy(label).agg(F.collect_list(F.struct(F.col(row).alias("row"), F.col(values).alias("values"))).alias("m"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlab.operators import usage
 from seqlab.plans.register import query, table
 from seqlab.sources import tables
 
@@ -41,3 +42,13 @@ def text_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         back = tables.drop_unnamed(tables.read_csv(spark, path, schema=rows.schema, sep=sep, index=True))
         read.append(back.withColumn("format", F.lit(name)))
     return read[0].unionByName(read[1])
+
+
+@query("SELECT DISTINCT p_size AS old, p_size % 10 AS new FROM part")
+def merge_map_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge map written under the original tools' names and read again (IO6, U6)."""
+    pairs = usage.label_map(table(spark, sf_dir, "part").select(F.col("p_size").alias("old"), (F.col("p_size") % 10).alias("new")), "old", "new")
+    path = _new_path(spark, "merge-map")
+    tables.write_merge_map(pairs, path)
+    back = tables.read_csv(spark, path, schema="old int, new int")
+    return back.select("old", "new")

@@ -231,6 +231,14 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "prediction", F.round(F.array_max("probability"), 6).alias("probability"))
 
 
+@query("SELECT p_partkey AS syllable_id, p_size % 7 AS library_label, CASE WHEN p_partkey % 3 = 0 THEN p_size > 40 END AS cluster_candidate, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'old' END AS experiment_name FROM part")
+def library_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New labels appended to a library that has no cluster_candidate yet."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("syllable_id"), (F.col("p_size") % 7).alias("library_label"), (F.col("p_size") > 40).alias("cluster_candidate"))
+    old, new = rows.where("syllable_id % 3 <> 0").drop("cluster_candidate"), rows.where("syllable_id % 3 = 0")
+    return normalize.union_experiments({"old": old, "new": new})
+
+
 @query(
     """WITH v AS (SELECT o_custkey AS library, o_orderkey % 5 <> 0 AS ok, o_orderkey % 11 AS major, o_orderkey % 23 AS minor FROM orders),
 n AS (SELECT library, max(struct_pack(a := major, b := minor)) FILTER (ok) AS m FROM v GROUP BY library)

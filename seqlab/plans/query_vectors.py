@@ -197,6 +197,29 @@ def ar_eigen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.dynamics_features(whole)
 
 
+@query(
+    """WITH v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), d AS (SELECT *, a * a + 4 * b AS disc FROM v),
+m AS (SELECT id, [abs(a + sqrt(a * a + 4)) / 2, abs(a - sqrt(a * a + 4)) / 2] AS h, CASE WHEN disc >= 0 THEN [abs(a + sqrt(greatest(disc, 0))) / 2, abs(a - sqrt(greatest(disc, 0))) / 2] ELSE [sqrt(abs(b)), sqrt(abs(b))] END AS e FROM d)
+SELECT id, round(list_max(h), 6) AS eigh_1, round(list_min(h), 6) AS eigh_2, round(list_max(e), 6) AS eig_1, round(list_min(e), 6) AS eig_2 FROM m"""
+)
+def ar_eigen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first two components as the lags of one variable and its third as the bias; SQL has the closed form of both solvers."""
+    rows = features.drop_bias(points(spark, sf_dir, 3).select("id", F.lit(0).alias("row"), F.col("features").alias("values")))
+    found = []
+    for mode in ("eigh", "eig"):
+        e = features.ar_eigenvalues(rows, label="id", lags=2, mode=mode)
+        found.append(e.select("id", *(F.round(c, 6).alias(f"{mode}_{i + 1}") for i, c in enumerate(features.first_magnitudes(F.col("magnitudes"), 2)))))
+    return found[0].join(found[1], "id")
+
+
+@query(_lloyd_sql(1).replace("SELECT id, cluster, round(", "SELECT id, CASE WHEN id % 5 = 0 THEN 'new' ELSE 'old' END AS origin, cluster, round("))
+def warm_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One warm iteration over old and new points, told apart again."""
+    p = points(spark, sf_dir)
+    out, _ = cluster.update_centroids(p.where("id % 5 <> 0"), p.where("id % 5 = 0"), _centroids(spark, sf_dir), max_iter=1)
+    return out.select("id", "origin", F.col("cluster").cast("long").alias("cluster"), F.round("distance", 6).alias("distance"))
+
+
 @query(None)
 def cluster_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
