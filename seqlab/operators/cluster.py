@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.operators import affinity
 from seqlab.operators.lloyd import DIGITS, pruned_lloyd, squared_distance
 from seqlab.operators.silhouettes import BLOCK, silhouette_curve, silhouette_samples
 from seqlab.sources.scratch import saved
@@ -141,12 +142,12 @@ def choose_k(points: DataFrame, *, seed: int = 0, features: str = "features", ke
 def affinity_propagation(points: DataFrame, *, key: str = "id", features: str = "features", damping: float = 0.5, max_iter: int = 200, stable: int = 15, most: int = 5000) -> DataFrame:
     """Affinity propagation on negative squared Euclidean distances, median preference (C4): key, cluster, exemplar.
 
-    Message passing needs the whole similarity matrix, so it is one task; it is
-    for label-level tables and raises beyond ``most`` points.
+    Up to ``most`` points the messages are one task's matrices; more points go
+    through ``affinity.propagate``, whose messages are blocks of rows.
     """
     n = points.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"more than {most} points: use k-means")
+        return affinity.propagate(points, key=key, features=features, damping=damping, max_iter=max_iter, stable=stable)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", ignore_index=True)

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqlab.operators import cluster, lloyd, normalize, plots, quantiles, silhouettes, similarity
+from seqlab.operators import affinity, cluster, lloyd, normalize, plots, quantiles, silhouettes, similarity
 
 
 def plan_of(df):
@@ -228,3 +228,14 @@ def test_session_sets(spark):
     with pytest.raises(ValueError, match="z is in the second"):
         similarity.check_same_sessions(a, made(["x", "y", "z", None]))
     assert [tuple(r) for r in similarity.session_differences(a, made([])).orderBy("uuid").collect()] == [(None, True, False), ("x", True, False), ("y", True, False)]
+
+
+@pytest.mark.parametrize(("n", "block_bytes"), [(37, 8 * 37 * 5), (2, 1), (1, 1)])
+def test_affinity_by_blocks_equals_one_matrix(spark, n, block_bytes):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 2)) + rng.integers(0, 3, n)[:, None] * 6
+    df = spark.createDataFrame([(f"p{i:02d}", v.tolist(), i) for i, v in enumerate(x)] + [("none", None, 0)], "id string, features array<double>, cluster int")
+    got = {r["id"]: (r["cluster"], r["exemplar"]) for r in affinity.propagate(df, block_bytes=block_bytes, max_iter=25, stable=6).collect()}
+    want = {r["id"]: (r["cluster"], r["exemplar"]) for r in cluster.affinity_propagation(df.where("id <> 'none'"), max_iter=25, stable=6).collect()}
+    assert got == want and len(got) == n
+    assert affinity.propagate(df.where("false")).collect() == []
