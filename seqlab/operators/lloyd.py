@@ -70,13 +70,16 @@ def _two_nearest(x: np.ndarray, numbers: np.ndarray, c: np.ndarray) -> tuple[np.
     return numbers[of[heads]], exact[heads], far
 
 
-def _scan(dims: int):
-    """Points' blocks with centroids' blocks: the two nearest so far are kept while a points' block goes on."""
+def _scan(dims: int, blocks: int):
+    """Points' blocks with centroids' blocks: the two nearest so far are kept while a points' block goes on, over all ``blocks``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = best = None
+        met = 0
 
         def done() -> pa.RecordBatch:
+            if met != blocks:
+                raise RuntimeError("a block of points met its centroids in parts: they are not joined by a broadcast")
             rows, (cluster, near, far) = np.frombuffer(last, "<i8"), best
             return pa.RecordBatch.from_arrays([pa.array(v) for v in (rows, cluster.astype(np.int32), near, far)], names=["row", "cluster", "near", "far"])
 
@@ -88,8 +91,9 @@ def _scan(dims: int):
                 if rows != last:
                     if last is not None:
                         yield done()
-                    last, best = rows, found
+                    last, best, met = rows, found, 1
                     continue
+                met += 1
                 better = (np.round(found[1], DIGITS) < np.round(best[1], DIGITS)) | ((np.round(found[1], DIGITS) == np.round(best[1], DIGITS)) & (found[0] < best[0]))
                 best = (np.where(better, found[0], best[0]), np.where(better, found[1], best[1]), np.where(better, np.minimum(best[1], found[2]), np.minimum(best[2], found[1])))
         if last is not None:
@@ -120,7 +124,7 @@ def two_nearest(points: DataFrame, centroids: DataFrame, *, dims: int, max_bytes
     for some in passes:
         blocks = F.broadcast(c.where(F.col("at").isin(some)))
         dealt = packed.withColumn("at", F.explode(F.array(*(F.lit(a).cast("long") for a in some)))) if some else packed.withColumn("at", F.lit(-1).cast("long"))
-        found.append(dealt.join(blocks, "at").select("rows", "x", "numbers", "c").mapInArrow(_scan(dims), "row long, cluster int, near double, far double"))
+        found.append(dealt.join(blocks, "at").select("rows", "x", "numbers", "c").mapInArrow(_scan(dims, len(some)), "row long, cluster int, near double, far double"))
     if len(found) == 1:
         return found[0]
     every = found[0]
