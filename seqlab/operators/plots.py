@@ -30,15 +30,18 @@ PRIME = 2_147_483_647
 POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
 
 
-def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
-    """A Poisson number with mean 1 from a row's key (long) and a replicate's number: how often the replicate draws the row.
+def with_poisson_weight(rows: DataFrame, key: str, replicate: str, weight: str, *, seed: int = 0) -> DataFrame:
+    """``rows`` with a Poisson number with mean 1 from a row's key (long) and a replicate's number: how often the replicate draws the row.
 
-    Rounds of squaring modulo a prime, in exact integers, so that any engine finds the same weights.
+    Rounds of squaring modulo a prime, in exact integers, so that any engine
+    finds the same weights. Each round is a column: a round uses the last one
+    more than once, and nested expressions would be evaluated once per use.
     """
-    t = F.pmod(F.pmod(key, F.lit(PRIME)) * 48_271 + replicate * 69_621 + (seed * 40_692 + 11), F.lit(PRIME))
-    t = F.pmod(t * t + replicate * 16_807 + 7, F.lit(PRIME))
-    t = F.pmod(t * (t + 30_269), F.lit(PRIME))
-    return sum((F.when(t >= cut, 1).otherwise(0) for cut in POISSON), F.lit(0))
+    prime, r, t = F.lit(PRIME), F.col(replicate), F.col(weight)
+    rounds = (F.pmod(F.pmod(F.col(key), prime) * 48_271 + r * 69_621 + (seed * 40_692 + 11), prime), F.pmod(t * t + r * 16_807 + 7, prime), F.pmod(t * (t + 30_269), prime))
+    for step in (*rounds, sum(((t >= cut).cast("long") for cut in POISSON), F.lit(0))):
+        rows = rows.withColumn(weight, step)
+    return rows
 
 
 def bootstrap_bands(rows: DataFrame, values: Sequence[str], by: Sequence[str], *, key: str, replicates: int = 250, level: float = 0.95, seed: int = 0) -> DataFrame:
@@ -55,7 +58,7 @@ def bootstrap_bands(rows: DataFrame, values: Sequence[str], by: Sequence[str], *
     by, place = list(by), {v: f"_v{i}" for i, v in enumerate(values)}
     drawn = rows.select(*by, F.col(key).cast("long").alias("_k"), *(F.col(v).cast("double").alias(c) for v, c in place.items())).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     # replicate 0 has every row once: the plain mean
-    drawn = drawn.withColumn("_w", F.when(F.col("_r") == 0, 1).otherwise(poisson_weight(F.col("_k"), F.col("_r"), seed)).cast("long"))
+    drawn = with_poisson_weight(drawn, "_k", "_r", "_w", seed=seed).withColumn("_w", F.when(F.col("_r") == 0, 1).otherwise(F.col("_w")).cast("long"))
     sums = [f for c in place.values() for f in (F.sum(F.when(F.col(c).isNotNull(), F.col("_w"))).alias(f"n{c}"), F.sum(F.col(c) * F.col("_w")).alias(f"s{c}"))]
     per = drawn.groupBy(*by, "_r").agg(*sums)
     long = per.select(*by, "_r", F.inline(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(f"n{c}").alias("_n"), F.try_divide(F.col(f"s{c}"), F.col(f"n{c}")).alias("_m")) for v, c in place.items()))))

@@ -215,7 +215,8 @@ def test_poisson_bootstrap(spark):
     assert found["c", "x"]["mean"] is None and found[None, "x"]["low"] in (1.0, None)
     again = {(r["g"], r["metric"]): r for r in plots.bootstrap_bands(rows.repartition(7), ["x", "y"], ["g"], key="id", replicates=400).collect()}
     assert all(again[k]["low"] == pytest.approx(r["low"]) if r["low"] is not None else again[k]["low"] is None for k, r in found.items())
-    w = spark.range(20_000).select(plots.poisson_weight(F.col("id"), F.lit(5)).alias("w"), plots.poisson_weight(F.col("id"), F.lit(6)).alias("v")).toPandas()
+    pairs = spark.range(20_000).select("id", F.lit(5).alias("r"), F.lit(6).alias("s"))
+    w = plots.with_poisson_weight(plots.with_poisson_weight(pairs, "id", "r", "w"), "id", "s", "v").toPandas()
     assert abs(w["w"].mean() - 1) < 0.03 and abs(w["w"].var() - 1) < 0.05 and abs(w["w"].corr(w["v"])) < 0.03
     assert abs((w["w"] == 0).mean() - math.exp(-1)) < 0.01
 
