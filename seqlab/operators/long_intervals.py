@@ -6,6 +6,9 @@ an edge of their chunk are joined over the chunks of the recording, of which
 there are few, and what an interval needs of those before is carried from chunk
 to chunk. Results equal those of ``intervals`` for any size of chunk;
 ``position`` must be the frame's place in its recording, from 0.
+
+Runs and intervals are few beside frames and are used more than once, so each
+step writes them first: frames are gone through once, not once per use.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlab.operators.long_sessions import CHUNK, _carried, _chunked, _in_chunk
+from seqlab.sources.scratch import saved
 
 
 def dilate(frames: DataFrame, *, mask: str = "empty", width: int = 9, key: str = "uuid", position: str = "frame_seq", chunk: int = CHUNK) -> DataFrame:
@@ -35,6 +39,7 @@ def empty_intervals(frames: DataFrame, *, mask: str = "dilated", key: str = "uui
     edge = (F.col(mask) & ~F.coalesce(F.lag(mask).over(order), F.lit(False))).cast("long")
     runs = rows.withColumn("_edge", edge).withColumn("_run", F.sum("_edge").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col(mask))
     runs = runs.groupBy(key, "_chunk", "_run").agg(F.min(position).alias("_first"), F.max(position).alias("_last")).drop("_run")
+    runs = saved(runs, "runs")
     open_ = (F.col("_first") == F.col("_chunk") * chunk) | (F.col("_last") == (F.col("_chunk") + 1) * chunk - 1)
     along = Window.partitionBy(key).orderBy("_first")
     islands = runs.where(open_).withColumn("_new", (~F.col("_first").eqNullSafe(F.lag("_last").over(along) + 1)).cast("long"))
@@ -50,6 +55,7 @@ def empty_intervals(frames: DataFrame, *, mask: str = "dilated", key: str = "uui
 def merge_intervals(intervals: DataFrame, *, gap: int = 300, key: str = "uuid", chunk: int = CHUNK) -> DataFrame:
     """As ``intervals.merge_intervals``: the end of the last interval, and the number of islands, are carried from chunk to chunk."""
     order = _in_chunk(key, "s")
+    intervals = saved(intervals, "intervals")
     rows = _carried(_chunked(intervals, "s", chunk), key, F.max_by("e", "s"), lambda c: F.last(c, ignorenulls=True))
     before = F.coalesce(F.lag("e").over(order), F.col("_carry"))
     rows = rows.withColumn("_new", (before.isNull() | (F.col("s") - before >= gap)).cast("long")).drop("_carry")
@@ -60,6 +66,7 @@ def merge_intervals(intervals: DataFrame, *, gap: int = 300, key: str = "uuid",
 
 def kept_ranges(intervals: DataFrame, *, key: str = "uuid", chunk: int = CHUNK) -> DataFrame:
     """As ``intervals.kept_ranges``: starts and places are carried from chunk to chunk."""
+    intervals = saved(intervals, "intervals")
     rows = _carried(_chunked(intervals, "s", chunk), key, F.max_by("e", "s"), lambda c: F.last(c, ignorenulls=True))
     start = F.coalesce(F.lag("e").over(_in_chunk(key, "s")), F.col("_carry"), F.lit(0)).cast("long")
     heads = rows.select(key, start.alias("start"), F.col("s").cast("long").alias("stop"))
