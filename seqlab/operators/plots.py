@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.operators.quantiles import exact_quantiles
+
+#: Columns of a box and their probabilities.
+BOX = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+
 
 def box_quantiles(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles and maximum of each group."""
-    q = F.percentile(F.col(value), F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return rows.groupBy(*by).agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select(*by, "n", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))))
+    """Minimum, quartiles and maximum of each group, exact, by counting (``exact_quantiles``): by, n (rows), low, q1, median, q3, high.
+
+    A group without a value has nulls; a null group is a group.
+    """
+    q = exact_quantiles(rows, by, value, probabilities=tuple(BOX.values()))
+    boxes = q.groupBy(*(F.col(k).alias(f"_{k}") for k in by)).agg(*(F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(c) for c, p in BOX.items()))
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    same = reduce(lambda a, b: a & b, (groups[k].eqNullSafe(boxes[f"_{k}"]) for k in by), F.lit(True))
+    return groups.join(boxes, same, "left").select(*by, "n", *BOX)
 
 
 def histogram(rows: DataFrame, value: str, *, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:

@@ -56,6 +56,12 @@ def _empty(spark, args):
     _write(args, share=share, ranges=ranges)
 
 
+def _split(spark, args):
+    others = dict(x.split("=", 1) for x in args.tables or ())
+    r = programs.split_empty({"frames": read_table(spark, args.frames), **{name: read_table(spark, path) for name, path in others.items()}}, height=args.height, empty_threshold=args.empty_threshold, split_threshold=args.split_threshold, filter_size=args.filter_size)
+    _write(args, share=r.share, ranges=r.ranges, splits=r.splits, **{f"tables/{name}": rows for name, rows in r.tables.items()})
+
+
 def _slice(spark, args):
     _write(args, frames=programs.slice_frames(read_table(spark, args.frames), time_slice=(args.start, args.end)))
 
@@ -128,6 +134,7 @@ COMMANDS = {
     "merge-labels": (_merge, ("frames", "merge_map", "out"), {}),
     "flip-quality": (_flip, ("frames", "labels", "flipped", "out"), {"confusion-threshold": 0.35, "kinematic-threshold": 0.85, "fps": float}),
     "empty-ranges": (_empty, ("frames", "out"), {"empty-threshold": 10.0, "split-threshold": 150, "filter-size": 9}),
+    "split-sessions": (_split, ("frames", "out"), {"tables": list, "height": 10, "empty-threshold": 10.0, "split-threshold": 150, "filter-size": 9}),
     "slice-frames": (_slice, ("frames", "out"), {"start": 0.0, "end": 30.0}),
     "label-features": (_features, ("frames", "scores", "ar", "out"), {"fps": float, "duration": "backward", "eig": "eigh"}),
     "meta-clusters": (_meta, ("experiments", "out"), {"ground-truth": str, "clusters": int, "algorithm": "kmeans", "seed": 0, "columns": list}),

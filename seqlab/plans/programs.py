@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqlab.operators import cluster, features, intervals, long_intervals, long_sessions, normalize, resample, sequence, similarity, treatments, usage
 from seqlab.plans.registry import Library
 from seqlab.sources import session_files, session_store, tables
+from seqlab.sources.scratch import saved
 
 log = logging.getLogger(__name__)
 
@@ -118,6 +119,28 @@ def empty_ranges(frames: DataFrame, *, empty_threshold: float = 10.0, split_thre
     return share, by.kept_ranges(by.merge_intervals(found, gap=2 * split_threshold))
 
 
+@dataclass
+class SplitReport:
+    share: DataFrame
+    ranges: DataFrame
+    splits: DataFrame
+    tables: dict[str, DataFrame]
+
+
+def split_empty(sessions: dict[str, DataFrame], *, frames: str = "frames", height: int = 10, empty_threshold: float = 10.0, split_threshold: int = 150, filter_size: int = 9, long_from: int = long_sessions.LONG) -> SplitReport:
+    """Sessions with too many empty frames cut into their ranges with a subject, with all their tables; others stay whole.
+
+    ``sessions``: tables by name, each with uuid. That of the frames has
+    frame_seq and either ``empty`` or pixels (px), of which one above the
+    ``height`` makes a frame not empty. Ranges are written once, as every table
+    is cut by them.
+    """
+    mask = sessions[frames] if "empty" in sessions[frames].columns else session_store.empty_mask(sessions[frames], height=height)
+    share, ranges = empty_ranges(mask.select("uuid", "frame_seq", "empty"), empty_threshold=empty_threshold, split_threshold=split_threshold, filter_size=filter_size, long_from=long_from)
+    ranges = saved(ranges, "ranges")
+    return SplitReport(share, ranges, session_store.split_listing(ranges), session_store.split_sessions(sessions, ranges, keep_whole=True))
+
+
 def slice_frames(frames: DataFrame, *, time_slice: tuple[float, float] = (0, 30)) -> DataFrame:
     """Frames within minutes of their session's start."""
     return sequence.slice_session(frames, start_min=time_slice[0], end_min=time_slice[1])

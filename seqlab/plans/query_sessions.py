@@ -248,6 +248,19 @@ def range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.split_by_ranges(frames(spark, sf_dir), ranges).select("split_id", "uuid", "frame_seq", "split_seq")
 
 
+@query(
+    f"""WITH {I_SQL}, a AS (SELECT uuid, 'value' AS name, frame_seq, value FROM f UNION ALL SELECT uuid, 'highest', NULL, max(value) FROM f GROUP BY uuid)
+SELECT CAST(uuid AS VARCHAR) || '-split-' || printf('%02d', idx) AS uuid, name, frame_seq - start AS frame_seq, value FROM a JOIN kp USING (uuid) WHERE frame_seq IS NULL OR (frame_seq >= start AND frame_seq < stop)
+UNION ALL SELECT CAST(uuid AS VARCHAR), name, frame_seq, value FROM a WHERE uuid NOT IN (SELECT uuid FROM kp)"""
+)
+def split_whole_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO12: data sets by frame sliced, one of the whole session copied into each split, and sessions without ranges kept."""
+    f = frames(spark, sf_dir)
+    data = f.select("uuid", F.lit("value").alias("name"), "frame_seq", "value").unionByName(f.groupBy("uuid").agg(F.lit("highest").alias("name"), F.lit(None).cast("long").alias("frame_seq"), F.max("value").alias("value")))
+    ranges = intervals.kept_ranges(intervals.merge_intervals(_intervals(spark, sf_dir), gap=6))
+    return session_store.split_sessions({"data": data}, ranges, keep_whole=True)["data"]
+
+
 @query(f"WITH {F_SQL} SELECT uuid, frame_seq, CASE WHEN frame_seq < 40 THEN CAST(CAST(floor(ts_ms) AS BIGINT) AS VARCHAR) ELSE '' END AS \"timestamp\", value FROM f")
 def scalar_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)

@@ -133,6 +133,27 @@ def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.exact_medians(long, ["l_returnflag", "column_name"], "x")
 
 
+@query("SELECT l_returnflag, count(x) AS n, min(x) AS low, round(q[1], 6) AS q1, round(q[2], 6) AS median, round(q[3], 6) AS q3, max(x) AS high FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem) JOIN (SELECT l_returnflag, quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY l_returnflag, q")
+def box_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of large groups, by counting."""
+    out = plots.box_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return out.select("l_returnflag", "n", "low", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3")), "high")
+
+
+@query("""WITH e AS (SELECT min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi FROM lineitem),
+b AS (SELECT l_returnflag, CAST(least(floor((l_quantity::DOUBLE - lo) / ((hi - lo) / 10)), 9) AS BIGINT) AS bin, lo, (hi - lo) / 10 AS w FROM lineitem, e)
+SELECT l_returnflag, bin, round(lo + bin * w, 6) AS start, count(*) AS n FROM b GROUP BY ALL""")
+def quantity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"))
+    return plots.histogram(rows, "x", bins=10, by=["l_returnflag"]).withColumn("start", F.round("start", 6))
+
+
+@query("WITH s AS (SELECT l_returnflag, avg(l_quantity) AS m, 1.96 * stddev_samp(l_quantity) / sqrt(count(l_quantity)) AS h, count(l_quantity) AS n FROM lineitem GROUP BY 1) SELECT l_returnflag, n, round(m, 6) AS mean, round(m - h, 6) AS low, round(m + h, 6) AS high FROM s")
+def normal_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = plots.mean_with_error(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"])
+    return out.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
 _POISSON_SQL = " + ".join(f"CAST(t >= {cut} AS INT)" for cut in plots.POISSON)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators.intervals import split_by_ranges, split_name
+from seqlab.operators.intervals import split_name
 from seqlab.sources.session_files import read_sessions
 
 PREFIX = "scalars/"
@@ -72,24 +72,45 @@ def write_flipped(frames: DataFrame, path: str) -> None:
     flip_frames(frames).write.mode("ignore").parquet(path)
 
 
-def split_sessions(tables: dict[str, DataFrame], ranges: DataFrame, *, key: str = "uuid", position: str = "frame_seq") -> dict[str, DataFrame]:
+def split_sessions(tables: dict[str, DataFrame], ranges: DataFrame, *, key: str = "uuid", position: str = "frame_seq", keep_whole: bool = False) -> dict[str, DataFrame]:
     """Every table of the sessions cut into the ranges (uuid, start, stop, idx) (IO12).
 
-    Tables with a position are sliced, and positions start at 0 again; the rows
-    of others belong to the whole session and are copied into each split.
-    Either way the session becomes ``<uuid>-split-NN``. Sessions without ranges
-    have no rows.
+    Rows with a position are sliced, and positions start at 0 again. What has
+    none belongs to the whole session and is copied into each split: rows of
+    tables without the column, and of data sets that are no frames, whose
+    position is null. Either way the session becomes ``<uuid>-split-NN``.
+    Sessions without ranges have no rows, or stay as they are with
+    ``keep_whole`` (rows without a session too).
+
+    Plan: one join on the session with the range as filter, and for whole ones
+    one with the sessions that have ranges; ranges are few, and adaptive
+    execution broadcasts them where they are small.
     """
+    cut = ranges.select(F.col(key).alias("_key"), "start", "stop", "idx")
     out = {}
     for name, rows in tables.items():
-        if position in rows.columns:
-            met = split_by_ranges(rows, ranges, key=key, position=position).withColumns({key: F.col("split_id"), position: F.col("split_seq")})
-        else:
-            met = rows.join(ranges.select(key, F.col("idx").alias("_idx")), key).withColumn(key, split_name(key, "_idx"))
-        out[name] = met.select(rows.columns)
+        names = {c: f"_{i}" for i, c in enumerate(rows.columns)}  # a table may have columns of the ranges' names
+        plain = rows.select(*(F.col(f"`{c}`").alias(v) for c, v in names.items()))
+        where, at = F.col(names[key]) == F.col("_key"), F.col(names[position]) if position in names else None
+        if at is not None:
+            where = where & (at.isNull() | ((at >= F.col("start")) & (at < F.col("stop"))))
+        met = plain.join(cut, where).withColumn(names[key], split_name("_key", "idx"))
+        if at is not None:
+            met = met.withColumn(names[position], at - F.col("start"))
+        met = met.select(*names.values())
+        if keep_whole:
+            whole = plain.join(cut.select("_key").distinct(), F.col(names[key]) == F.col("_key"), "left_anti")
+            met = met.unionByName(whole.withColumn(names[key], F.col(names[key]).cast("string")))
+        out[name] = met.select(*(F.col(v).alias(c) for c, v in names.items()))
     return out
 
 
+def split_listing(ranges: DataFrame, *, key: str = "uuid") -> DataFrame:
+    """(uuid, split_id, start, stop, file) of each range: the split's name, and that of its file with the range in it (IO12, IO19)."""
+    file = F.format_string("%s-start_%d_end_%d.h5", F.col(key).cast("string"), F.col("start"), F.col("stop"))
+    return ranges.select(key, split_name(key, "idx").alias("split_id"), "start", "stop", file.alias("file"))
+
+
 def read_hdf5(spark: SparkSession, pattern: str) -> DataFrame:
     """Scalars of session files (IO7)."""
     return read_sessions(spark, pattern, "scalars")

@@ -26,6 +26,12 @@ def test_cosine_distances_and_slices(spark, tmp_path):
     main(["empty-ranges", f"{tmp_path}/frames", f"{tmp_path}/out", "--split-threshold", "10"], spark)
     assert [(r["start"], r["stop"]) for r in spark.read.parquet(f"{tmp_path}/out/ranges").collect()] == [(0, 16)]
 
+    spark.createDataFrame([("a", i, float(i)) for i in range(3)] + [("b", 0, 5.0)], "uuid string, frame_seq long, value double").write.parquet(f"{tmp_path}/scalars")
+    main(["split-sessions", f"{tmp_path}/frames", f"{tmp_path}/out", "--split-threshold", "10", "--tables", f"scalars={tmp_path}/scalars"], spark)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/tables/scalars").collect()) == [("a-split-00", 0, 0.0), ("a-split-00", 1, 1.0), ("a-split-00", 2, 2.0), ("b", 0, 5.0)]
+    assert spark.read.parquet(f"{tmp_path}/out/tables/frames").count() == 16
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/splits").collect()] == [("a", "a-split-00", 0, 16, "a-start_0_end_16.h5")]
+
 
 def test_treatments_and_scalars(spark, tmp_path, capsys):
     (tmp_path / "map.tsv").write_text("matcher\tday\tsession\tbox\tfilename\n1\t1\t1\t1\tx.mp4\n1\t1\t1\t2\ty.mp4\n")

@@ -439,6 +439,23 @@ def test_sessions_are_split_with_all_their_tables(spark):
     assert sorted(tuple(r) for r in out["meta"].collect()) == [("a-split-00", "x"), ("a-split-01", "x")]
 
 
+def test_splits_keep_what_no_range_cuts(spark):
+    rows = [("a", 0, 1), ("a", 3, 2), ("a", None, 3), ("b", 0, 4), ("b", None, 5), (None, 0, 6)]
+    data = spark.createDataFrame(rows, "uuid string, frame_seq long, start int")  # a column named as one of the ranges
+    meta = spark.createDataFrame([("a", 7), ("b", 8), (None, 9)], "uuid string, idx int")
+    ranges = spark.createDataFrame([("a", 0, 2, 0), ("a", 3, 6, 1)], "uuid string, start long, stop long, idx int")
+    cut = [("a-split-00", 0, 1), ("a-split-00", None, 3), ("a-split-01", 0, 2), ("a-split-01", None, 3)]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    for whole, kept, others in ((False, [], []), (True, rows[3:], [("b", 8), (None, 9)])):
+        out = session_store.split_sessions({"data": data, "meta": meta}, ranges, keep_whole=whole)
+        assert out["data"].columns == data.columns
+        assert sorted((tuple(r) for r in out["data"].collect()), key=key) == sorted(cut + kept, key=key)
+        assert sorted((tuple(r) for r in out["meta"].collect()), key=key) == sorted([("a-split-00", 7), ("a-split-01", 7), *others], key=key)
+    none = session_store.split_sessions({"data": data}, ranges.where("false"), keep_whole=True)["data"]
+    assert sorted((tuple(r) for r in none.collect()), key=key) == sorted(rows, key=key)
+    assert sorted(tuple(r) for r in session_store.split_listing(ranges).collect())[1] == ("a", "a-split-01", 3, 6, "a-start_3_end_6.h5")
+
+
 def test_flipped_frames_are_not_written_twice(spark, tmp_path):
     one = spark.createDataFrame([("u", 0, 2, 1, [1, 2])], "uuid string, frame_seq long, h int, w int, px array<int>")
     session_store.write_flipped(one, f"{tmp_path}/flipped")

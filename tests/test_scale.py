@@ -49,6 +49,22 @@ def test_medians_by_numpy(spark, few, bins):
     assert [r["median"] for r in whole] == [np.median(groups["even"])]
 
 
+@pytest.mark.parametrize("few, bins", [(2, 2), (5, 16), (4096, 4096)])
+def test_quantiles_by_numpy(spark, few, bins):
+    rng = np.random.default_rng(3)
+    groups = {"normal": rng.normal(size=401), "ties": rng.integers(0, 4, 300).astype(float), "wide": 10.0 ** rng.uniform(-300, 300, 200), "one": np.array([7.0]), None: -np.arange(10.0)}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("one", None)], "g string, x double")
+    probabilities = (0.0, 0.025, 0.25, 0.5, 0.75, 1.0, 0.25)
+    got = quantiles.exact_quantiles(rows, ["g"], "x", probabilities=probabilities, few=few, bins=bins).collect()
+    assert len(got) == len(groups) * 6
+    for r in got:
+        assert r["n"] == len(groups[r["g"]]) and r["quantile"] == pytest.approx(np.quantile(groups[r["g"]], r["probability"]), rel=1e-12, abs=1e-12)
+    box = {r["g"]: r for r in plots.box_quantiles(rows, "x", ["g"]).collect()}
+    assert (box["ties"]["low"], box["ties"]["high"], box[None]["q1"]) == (0.0, 3.0, -6.75)
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        quantiles.exact_quantiles(rows, ["g"], "x", probabilities=(1.5,))
+
+
 def test_medians_of_ten_million_values_in_little_memory():
     """One group of 10 million distinct doubles, with a driver of 1 GB and no buffer of its values."""
     code = """
