@@ -12,6 +12,14 @@ from seqlab.functions.text import stem, without_literal
 
 KEYS = ("matcher", "day", "session", "box")
 
+#: Where a row stood in the file map and in the schedule.
+PLACES = ("file_position", "dosing_position")
+
+
+def with_positions(file_map: DataFrame, dosing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables, as they are read from a file each, with their rows' places (PLACES), which only grow along a file."""
+    return tuple(t.withColumn(c, F.monotonically_increasing_id()) for t, c in zip((file_map, dosing), PLACES, strict=True))
+
 
 def merge_schedules(file_map: DataFrame, dosing: DataFrame, *, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Full outer join on the keys, nulls equal (J1); the file name loses .mp4."""
@@ -22,12 +30,13 @@ def merge_schedules(file_map: DataFrame, dosing: DataFrame, *, keys: tuple[str,
     return out.withColumn("filename_clean", without_literal(F.col("filename")))
 
 
-def update_groups(files: DataFrame, merged: DataFrame, *, order: Sequence[str] = KEYS) -> DataFrame:
+def update_groups(files: DataFrame, merged: DataFrame, *, order: Sequence[str] = KEYS + PLACES) -> DataFrame:
     """Files (path, group) with the treatment of their stem as group (J3); without one the group stays.
 
     Of rows that repeat a file name the last counts: a merged table is in
-    ascending order of its keys, and ``order`` names those that ``merged`` has
-    (nulls come first); rows equal in them are told apart by the treatment. A
+    ascending order of its keys, and of places in the files among equal ones
+    (``with_positions``). ``order`` names these; those that ``merged`` has count
+    (nulls come first). Rows equal in them are told apart by the treatment. A
     null treatment of the last row leaves the group as it is. ``changed`` marks
     files whose group is another now (J12).
     """

@@ -249,7 +249,7 @@ def merge_treatments(file_map: DataFrame, dosing: DataFrame, index_path: str) ->
     """Set the groups of an index document to the treatments of its files, keeping the first version as .bak; its files with ``changed``."""
     document = tables.read_yaml(index_path)
     files = treatments.index_to_rows(file_map.sparkSession, document)
-    out = treatments.update_groups(files, treatments.merge_schedules(file_map, dosing))
+    out = treatments.update_groups(files, treatments.merge_schedules(*treatments.with_positions(file_map, dosing)))
     tables.write_yaml(treatments.rows_to_index(document, out), index_path)
     return out
 

@@ -340,7 +340,7 @@ def test_usable_frames_and_scores(spark):
     assert sorted(r["pc"][0] for r in features.attach_scores(f, s).collect()) == [3.0, 4.0, 5.0]
 
 
-def test_treatments(spark):
+def test_treatments(spark, tmp_path):
     fm = spark.createDataFrame([(1, None, "x.mp4.mp4"), (2, "d", "y.mp4"), (3, "d", None)], "matcher int, day string, filename string").selectExpr("*", "1 as session", "1 as box")
     ds = spark.createDataFrame([(1, None, "drug"), (9, "d", "none")], "matcher int, day string, treat string").selectExpr("*", "1 as session", "1 as box")
     merged = treatments.merge_schedules(fm, ds)
@@ -350,6 +350,10 @@ def test_treatments(spark):
     assert {r["path"]: (r["group"], r["changed"]) for r in treatments.update_groups(files, merged).collect()} == {"/d/x.h5": ("drug", True), "/d/y.h5": ("g", False)}
     twice = spark.createDataFrame([("x", 1, "zzz"), ("x", 3, "aaa"), ("x", 2, "mmm"), ("y", 1, "b"), ("y", 2, None)], "filename_clean string, day int, treat string")
     assert {r["path"]: r["group"] for r in treatments.update_groups(files, twice).collect()} == {"/d/x.h5": "aaa", "/d/y.h5": "g"}
+    (tmp_path / "map.tsv").write_text("matcher\tday\tsession\tbox\tfilename\n2\t1\t1\t1\tx.mp4\n1\t1\t1\t1\tx.mp4\n2\t1\t1\t1\ty.mp4\n")
+    (tmp_path / "dosing.tsv").write_text("matcher\tday\tsession\tbox\ttreat\n2\t1\t1\t1\tzzz\n2\t1\t1\t1\taaa\n1\t1\t1\t1\tmmm\n")
+    placed = treatments.merge_schedules(*treatments.with_positions(*(tables.read_csv(spark, f"{tmp_path}/{n}.tsv", sep="\t") for n in ("map", "dosing"))))
+    assert {r["path"]: r["group"] for r in treatments.update_groups(files, placed).collect()} == {"/d/x.h5": "aaa", "/d/y.h5": "aaa"}  # the last of equal keys, not the largest
     document = {"files": [{"path": ["/d/x.h5"], "group": "g"}], "other": 1}
     assert treatments.rows_to_index(document, treatments.update_groups(files, merged))["files"][0]["group"] == "drug"
     source = spark.createDataFrame([("/a/x.h5", "g1", 1), ("/b/x.h5", "g0", 0)], "path string, group string, position int")
