@@ -177,6 +177,61 @@ def test_distances_are_computed_once_for_all_k(spark, monkeypatch):
     assert curve[0]["silhouette"] == pytest.approx(numpy_silhouettes(x, own).mean())
 
 
+def far_apart(rng):
+    """Vectors of 6 components far from zero, with copies, near copies, and two that are no finite numbers."""
+    x = np.repeat(rng.normal(size=(12, 6)) + 1e6, 5, axis=0)
+    x[1::5] += rng.normal(size=(12, 6)) * 1e-7
+    x[2::5] += rng.normal(size=(12, 6))
+    x[[7, 33], [0, 3]] = math.inf, math.nan
+    return x
+
+
+@pytest.mark.parametrize("clusters", [5, 40])
+@pytest.mark.parametrize(("block", "company"), [(60, 32), (7, 1), (6, 2)])
+def test_silhouettes_far_from_zero(spark, clusters, block, company, monkeypatch):
+    """Products of centred vectors lose nothing that differences keep, in short sums and in long ones."""
+    monkeypatch.setattr(silhouettes, "COMPANY", company, raising=False)
+    rng = np.random.default_rng(block)
+    x = far_apart(rng)
+    labels = np.append(np.arange(59) // 5 % clusters, clusters - 1)
+    bad = ~np.isfinite(x).all(axis=1)
+    gap = np.where(bad[:, None], 0.0, x)
+    d = np.sqrt(((gap[:, None] - gap[None]) ** 2).sum(axis=2))
+    d[bad], d[:, bad] = math.inf, math.inf
+    want = []
+    for i, own in enumerate(labels):
+        n = (labels == own).sum()
+        a = np.delete(d[i], i)[np.delete(labels, i) == own].sum() / max(1, n - 1)
+        b = min(d[i, labels == c].mean() for c in set(labels) if c != own)
+        want.append((b - a) / max(a, b) if n > 1 and math.isfinite(a) and math.isfinite(b) and max(a, b) > 0 else 0.0)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels, strict=True))], "id int, features array<double>, c int")
+    got = {int(r["key"]): r["silhouettes"][0] for r in silhouettes.silhouette_samples(df, ["c"], block=block).collect()}
+    assert np.count_nonzero(want) > 20 and np.allclose([got[i] for i in range(60)], want, rtol=1e-12, atol=1e-12)
+
+
+def meetings(spark, monkeypatch, folder, of):
+    """Blocks that came to the tasks of a pass over 40 points in at most 10 blocks."""
+    real = silhouettes._go_through
+
+    def counted(dims, tops):
+        def go(batches):
+            found = list(batches)
+            if found:
+                (folder / str(random.SystemRandom().random())).write_text(str(sum(b.num_rows for b in found)))
+            yield from real(dims, tops)(iter(found))
+
+        return go
+
+    monkeypatch.setattr(silhouettes, "_go_through", counted)
+    x = np.random.default_rng(4).normal(size=(40, 3))
+    of(spark.createDataFrame([(i, v.tolist(), i % 2, i % 3) for i, v in enumerate(x)], "id int, features array<double>, k2 int, k3 int")).collect()
+    return sum(int(p.read_text()) for p in folder.iterdir())
+
+
+def test_two_blocks_meet_once(spark, monkeypatch, tmp_path):
+    assert 40 < meetings(spark, monkeypatch, tmp_path, lambda df: silhouettes.silhouette_samples(df, ["k3"], block=4)) <= 10 + 45
+
+
 @pytest.mark.parametrize("bounds", [{}, {"block": 3, "max_bytes": 200}])
 def test_pruned_lloyd_equals_plain_steps(spark, bounds):
     rng = np.random.default_rng(4)
