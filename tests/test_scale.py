@@ -232,6 +232,10 @@ def test_two_blocks_meet_once(spark, monkeypatch, tmp_path):
     assert 40 < meetings(spark, monkeypatch, tmp_path, lambda df: silhouettes.silhouette_samples(df, ["k3"], block=4)) <= 10 + 45
 
 
+def test_a_curve_takes_one_pass(spark, monkeypatch, tmp_path):
+    assert 40 < meetings(spark, monkeypatch, tmp_path, lambda df: silhouettes.silhouette_curve(df, {2: "k2", 3: "k3"}, block=4)) <= 10 + 45
+
+
 @pytest.mark.parametrize("bounds", [{}, {"block": 3, "max_bytes": 200}])
 def test_pruned_lloyd_equals_plain_steps(spark, bounds):
     rng = np.random.default_rng(4)
