@@ -6,7 +6,8 @@ another. Distances of two blocks are one matrix product, centred on the task's
 block, and what that leaves inexact is computed again from the differences.
 They are added up by the clusters of all clusterings, so that trying many
 numbers of clusters costs sums, not distances; where sums are short, two blocks
-meet once and both have their sums from it.
+meet once and both have their sums from it, made for points that are in the same
+clusters of all clusterings together.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ SHORT = 32
 COMPANY = 32
 #: Squared distances below this share of the squared lengths are computed again; squared lengths from FAR on count as infinite.
 CLOSE, FAR = 2.0**-16, 1e300
-#: Rows and columns of distances at a time.
+#: Rows and columns of distances at a time; where sums are short, so many that they stay in a core's cache.
 ROWS, COLUMNS = 256, 1024
+TILE = 192, 384
 PACKED = "block int, keys array<string>, x binary, places binary, labels binary"
 SUMMED = "block int, task int, keys array<string>, places binary, labels binary, sums binary, sizes binary"
 SAMPLES = "key string, silhouettes array<double>"
@@ -88,11 +90,17 @@ class _Points:
         self.sizes = np.stack([np.bincount(at.ravel(), minlength=self.clusters) for at in (self.at, self.at[lost])])
         self.near = np.flatnonzero(~lost)
 
-    def weights(self) -> np.ndarray:
-        """How many points of a vector are in each cluster."""
-        w = np.zeros((len(self.x), self.clusters))
-        np.add.at(w, (self.places[self.near, None], self.at[self.near]), 1.0)
-        return w
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """(how many points of a vector are in each class, the clusters of each class); points in the same clusters are a class, or those of a cluster where that makes fewer."""
+        found, of = np.unique(self.at[self.near], axis=0, return_inverse=True)
+        if len(found) < self.clusters:
+            members, of = np.zeros((len(found), self.clusters)), of.reshape(-1, 1)
+            np.put_along_axis(members, found, 1.0, axis=1)
+        else:
+            members, of = np.eye(self.clusters), self.at[self.near]
+        w = np.zeros((len(self.x), len(members)))
+        np.add.at(w, (self.places[self.near, None], of), 1.0)
+        return w, members
 
     def runs(self) -> list[list[tuple]]:
         """For each COLUMNS points and clustering: the points' vectors in order of cluster, the clusters, and where each begins."""
@@ -104,18 +112,18 @@ class _Points:
         return out
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, first column, distances) by ROWS and COLUMNS; the array is used again."""
+def _distances(a: np.ndarray, b: np.ndarray, high: int, wide: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, distances) by ``high`` rows and ``wide`` columns; the array is used again."""
     centre = a.mean(axis=0)
     p, q = a - centre, b - centre
     pp, qq = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", q, q)
     left, right = np.column_stack([-2 * p, pp, np.ones(len(p))]), np.column_stack([q, np.ones(len(q)), qq])
-    room = np.empty(min(ROWS, len(a)) * min(COLUMNS, len(b)))
-    for j in range(0, len(b), COLUMNS):
-        r, rr = right[j : j + COLUMNS].T, qq[j : j + COLUMNS]
-        for i in range(0, len(a), ROWS):
-            ll = pp[i : i + ROWS]
-            d = np.matmul(left[i : i + ROWS], r, out=room[: len(ll) * len(rr)].reshape(len(ll), len(rr)))
+    room = np.empty(min(high, len(a)) * min(wide, len(b)))
+    for j in range(0, len(b), wide):
+        r, rr = right[j : j + wide].T, qq[j : j + wide]
+        for i in range(0, len(a), high):
+            ll = pp[i : i + high]
+            d = np.matmul(left[i : i + high], r, out=room[: len(ll) * len(rr)].reshape(len(ll), len(rr)))
             if d.min() < CLOSE * (ll.max() + rr.max()):
                 rows, columns = np.nonzero(d < CLOSE * (ll[:, None] + rr))
                 for c in range(0, len(rows), 4096):
@@ -131,7 +139,10 @@ class _Sums:
     def __init__(self, own: _Points, short: bool):
         self.own, self.totals, self.sizes = own, np.zeros((len(own.x), own.clusters)), np.zeros_like(own.sizes)
         self.totals[own.far] = np.inf
-        self.weights = own.weights() if short else None
+        self.weights = None
+        if short:
+            weights, self.members = own.weights()
+            self.weights = np.ascontiguousarray(weights.T)
 
     def add(self, other: _Points) -> np.ndarray | None:
         """Adds the distances from the other block; where sums are short, returns those of the other's points."""
@@ -139,16 +150,18 @@ class _Sums:
         if self.weights is None:
             for j, runs in enumerate(other.runs()):
                 vectors = other.places[other.near[j * COLUMNS : (j + 1) * COLUMNS]]
-                for i, _, d in _distances(self.own.x, other.x[vectors]):
+                for i, _, d in _distances(self.own.x, other.x[vectors], ROWS, COLUMNS):
                     for order, found, starts in runs:
                         self.totals[i : i + len(d), found] += np.add.reduceat(d[:, order], starts, axis=1)
             return None
-        back, weights = np.zeros((len(other.x), other.clusters)), other.weights()
-        for i, j, d in _distances(self.own.x, other.x):
-            self.totals[i : i + d.shape[0]] += d @ weights[j : j + d.shape[1]]
+        weights, members = other.weights()
+        sums, back = np.zeros((len(self.own.x), len(members))), np.zeros((len(self.members), len(other.x)))
+        for i, j, d in _distances(self.own.x, other.x, *TILE):
+            sums[i : i + d.shape[0]] += d @ weights[j : j + d.shape[1]]
             if other is not self.own:
-                back[j : j + d.shape[1]] += d.T @ self.weights[i : i + d.shape[0]]
-        return back
+                back[:, j : j + d.shape[1]] += self.weights[:, i : i + d.shape[0]] @ d
+        self.totals += sums @ members
+        return back.T @ self.members
 
 
 def _samples(row: dict, totals: np.ndarray, sizes: np.ndarray, tops: Sequence[int]) -> pa.RecordBatch:

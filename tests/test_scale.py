@@ -236,6 +236,29 @@ def test_a_curve_takes_one_pass(spark, monkeypatch, tmp_path):
     assert 40 < meetings(spark, monkeypatch, tmp_path, lambda df: silhouettes.silhouette_curve(df, {2: "k2", 3: "k3"}, block=4)) <= 10 + 45
 
 
+def test_sums_of_clusterings_are_made_by_class(monkeypatch):
+    """Four clusterings of ten labels have 17 clusters, but distances are added up by the ten labels; both blocks get the sums of all clusters."""
+    rng = np.random.default_rng(8)
+    ks, tops = (2, 3, 5, 7), (1, 2, 4, 6)
+
+    def block(n):
+        x, labels = rng.normal(size=(n, 5)), np.arange(n) * 7 % 10
+        labels = np.column_stack([labels % k for k in ks]).astype("<i4")
+        places = np.append(np.arange(n - 2), [0, 0]).astype("<i4")  # three points of one vector
+        row = {"x": x[: n - 2].tobytes(), "places": places.tobytes(), "labels": labels.tobytes()}
+        return silhouettes._Points(row, 5, tops), x[places], np.concatenate([np.equal.outer(c, np.arange(k)) for c, k in zip(labels.T, ks, strict=True)], axis=1).astype(float)
+
+    widths = []
+    real = silhouettes._Points.weights
+    monkeypatch.setattr(silhouettes._Points, "weights", lambda self: widths.append(real(self)) or widths[-1])
+    (own, x, a), (other, y, b) = block(300), block(1100)
+    sums = silhouettes._Sums(own, True)
+    back = sums.add(other)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert [np.shape(w[0])[1:] for w in widths] == [(10,), (10,)]
+    assert np.allclose(sums.totals[own.places], d @ b, rtol=1e-12) and np.allclose(back[other.places], d.T @ a, rtol=1e-12)
+
+
 @pytest.mark.parametrize("bounds", [{}, {"block": 3, "max_bytes": 200}])
 def test_pruned_lloyd_equals_plain_steps(spark, bounds):
     rng = np.random.default_rng(4)
